@@ -29,6 +29,8 @@ whereas whereby wherein whereupon wherever whether whither whoever whole whose w
 DROPPED = "did does doing don having just ought s t theirs".split()
 
 
-def english_stop_words() -> list[str]:
-    base = {w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w}
+def english_stop_words(spark_words: list[str] | None = None) -> list[str]:
+    """The list; Spark's own words are asked of the running session unless given."""
+    words = StopWordsRemover.loadDefaultStopWords("english") if spark_words is None else spark_words
+    base = {w for w in words if "'" not in w}
     return sorted((base - set(DROPPED)) | set(EXTRA))
