@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from oddlines.functions.numbers import round_half_up
 from oddlines.operators.ordering import with_running
 
 # Requests that leave no event, and the limits of the displays.
@@ -14,11 +15,6 @@ SLOW_MS = 200
 HIGH_LATENCY_MS = 500
 
 
-def round_half_up(value: Column, digits: int) -> Column:
-    scale = F.lit(float(10**digits))
-    return F.floor(value * scale + 0.5) / scale
-
-
 def event_status(events: DataFrame) -> DataFrame:
     """Total events, errors, and the time of the newest event."""
     return events.agg(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from oddlines.functions.text import mask_tokens, mask_tokens_legacy, with_bigrams, words
+from oddlines.storage import spread
 
 MAX_FEATURES = 1000
 
@@ -31,34 +32,32 @@ def prepare_text(df: DataFrame, legacy: bool = False) -> DataFrame:
     return filled.withColumn("combined", F.concat_ws(" ", "level", "source", "event_clean"))
 
 
-def tokenize_counts(df: DataFrame, key: Sequence[str], text: str, freq: str | None = None) -> DataFrame:
-    """Times each single word occurs in each row: ``key``, ``term``, ``tf``."""
-    return _count_terms(df, key, text, freq, lambda tokens: tokens)
+def word_rows(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """One row per single word of each text: ``key``, ``term``."""
+    return _term_rows(df, key, text, lambda tokens: tokens)
 
 
-def ngram_counts(
-    df: DataFrame, key: Sequence[str], text: str, freq: str | None = None
-) -> DataFrame:
-    """Times each word and each pair of neighbouring words occurs in each row."""
-    return _count_terms(df, key, text, freq, with_bigrams)
+def ngram_rows(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """One row per word and per pair of neighbouring words of each text."""
+    return _term_rows(df, key, text, with_bigrams)
 
 
-def stopped_counts(df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str]) -> DataFrame:
-    """Single words outside ``stop_words``; the list is a fixed one of a few hundred."""
+def stopped_rows(df: DataFrame, key: Sequence[str], text: str, stop_words: Sequence[str]) -> DataFrame:
+    """One row per word outside ``stop_words``; the list is a fixed one of a few hundred."""
     stops = F.array(*[F.lit(w) for w in stop_words])
-    return _count_terms(
-        df, key, text, None, lambda tokens: F.filter(tokens, lambda t: ~F.array_contains(stops, t))
-    )
+    return _term_rows(df, key, text, lambda tokens: F.filter(tokens, lambda t: ~F.array_contains(stops, t)))
 
 
-def _count_terms(df: DataFrame, key: Sequence[str], text: str, freq: str | None, terms) -> DataFrame:
-    keep = [*key, *([freq] if freq else [])]
-    tokens = df.select(*keep, words(F.col(text)).alias("_tokens"))
-    return (
-        tokens.select(*keep, F.explode(terms(F.col("_tokens"))).alias("term"))
-        .groupBy(*keep, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def _term_rows(df: DataFrame, key: Sequence[str], text: str, terms) -> DataFrame:
+    # Texts are spread by key before they are taken apart: the far larger term
+    # rows are then counted and normalised in place, with no shuffle of their own.
+    tokens = spread(df.select(*key, text), *key).select(*key, words(F.col(text)).alias("_tokens"))
+    return tokens.select(*key, F.explode(terms(F.col("_tokens"))).alias("term"))
+
+
+def term_counts(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Times each term occurs in each text: ``key``, ``term``, ``tf``."""
+    return rows.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_counts(counts: DataFrame, freq: str | None = None, model: Sequence[str] = ()) -> DataFrame:
@@ -93,34 +92,39 @@ def with_idf(vocab: DataFrame, n_rows: Column) -> DataFrame:
     return vocab.withColumn("idf", F.log((1 + n_rows) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, key: Sequence[str], model: Sequence[str] = ()) -> DataFrame:
-    """Weights of the vocabulary's terms, scaled to length 1 in each row.
+def _known_terms(rows: DataFrame, vocab: DataFrame, key: Sequence[str], model: Sequence[str]) -> DataFrame:
+    """Raw weights ``x`` = tf x idf of the vocabulary's terms.
 
-    A vocabulary is at most a fixed number of terms a model, so it is broadcast
-    when there is one model; with several the engine decides by its size.
+    Other terms are dropped before anything is counted. A vocabulary is at most
+    a fixed number of terms a model, so it is broadcast when there is one
+    model; with several the engine decides by its size.
     """
     small = vocab.select(*model, "term", "term_id", "idf")
     if not model:
         small = F.broadcast(small)
-    raw = counts.join(small, [*model, "term"]).withColumn("_x", F.col("tf") * F.col("idf"))
+    known = rows.join(small, [*model, "term"])
+    counted = known.groupBy(*model, *key, "term", "term_id", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.withColumn("_x", F.col("tf") * F.col("idf"))
+
+
+def tfidf(rows: DataFrame, vocab: DataFrame, key: Sequence[str], model: Sequence[str] = ()) -> DataFrame:
+    """Weights of the vocabulary's terms in term rows, scaled to length 1 in each text."""
+    raw = _known_terms(rows, vocab, key, model)
     length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(*model, *key)))
     return raw.select(*model, *key, "term", "term_id", "tf", (F.col("_x") / length).alias("weight"))
 
 
 def sparse_vectors(
-    counts: DataFrame, vocab: DataFrame, key: Sequence[str], rows: DataFrame, model: Sequence[str] = ()
+    rows: DataFrame, vocab: DataFrame, key: Sequence[str], texts: DataFrame, model: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key: ``terms`` (ids, ascending) and ``weights``, length 1.
+    """One row per row of ``texts``: ``terms`` (ids, ascending) and ``weights``, length 1.
 
-    Rows of ``rows`` none of whose terms is known keep an empty vector.
+    Texts none of whose terms is known keep an empty vector.
     """
-    small = vocab.select(*model, "term", "term_id", "idf")
-    if not model:
-        small = F.broadcast(small)
     keys = [*model, *key]
-    entry = F.struct(F.col("term_id"), (F.col("tf") * F.col("idf")).alias("x"))
+    entry = F.struct(F.col("term_id"), F.col("_x").alias("x"))
     known = (
-        counts.join(small, [*model, "term"])
+        _known_terms(rows, vocab, key, model)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))  # as long as the vocabulary at most
     )
@@ -130,7 +134,7 @@ def sparse_vectors(
         F.transform("_entries", lambda e: e["term_id"]).alias("terms"),
         F.transform("_entries", lambda e: e["x"] / F.col("_length")).alias("weights"),
     )
-    return rows.join(shaped, keys, "left").withColumns(
+    return texts.join(shaped, keys, "left").withColumns(
         {
             "terms": F.coalesce("terms", F.array().cast("array<int>")),
             "weights": F.coalesce("weights", F.array().cast("array<double>")),

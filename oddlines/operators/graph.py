@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from oddlines.functions.stopwords import english_stop_words
 from oddlines.functions.text import shorten
-from oddlines.operators.features import corpus_counts, stopped_counts
+from oddlines.operators.features import corpus_counts, stopped_rows, term_counts
 from oddlines.operators.reports import top_templates
 
 # Look of a node and of an edge.
@@ -48,7 +48,8 @@ def similarity_edges(nodes: DataFrame, stop_words: Sequence[str] | None = None)
     Nodes meet through the terms they share. The node list is bounded by the
     number of templates shown, which bounds the pairs as well.
     """
-    counts = stopped_counts(nodes, ["id"], "text", stop_words or english_stop_words())
+    rows = stopped_rows(nodes, ["id"], "text", stop_words or english_stop_words())
+    counts = term_counts(rows, ["id"])
     n = nodes.agg(F.count(F.lit(1))).scalar()
     idf = corpus_counts(counts).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("x"))

@@ -98,7 +98,7 @@ def csv_round_trip(spark, sf_dir):
     "append_events",
     """SELECT row_number() OVER (ORDER BY event_id) AS id, 'pod-' || user_id::VARCHAR AS pod, event_type AS type,
       props AS message, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
-      CASE WHEN value > 100 THEN 0.0 ELSE round(value / 1000, 4) END AS latency, ts
+      CASE WHEN value > 100 THEN 0.0 ELSE floor(value / 1000 * 10000 + 0.5) / 10000 END AS latency, ts
     FROM events""",
 )
 def append_events(spark, sf_dir):

@@ -101,12 +101,16 @@ weights AS (SELECT doc_id, term, term_id, tf, x / sqrt(sum(x * x) OVER (PARTITIO
 
 @query("tokenize_counts", f"WITH {TOKENS} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY ALL")
 def tokenize_counts(spark, sf_dir):
-    return f.tokenize_counts(_documents(spark, sf_dir), ["doc_id"], "text")
+    return f.term_counts(f.word_rows(_documents(spark, sf_dir), ["doc_id"], "text"), ["doc_id"])
+
+
+def _grams(spark, sf_dir):
+    return f.ngram_rows(_documents(spark, sf_dir), ["doc_id"], "text")
 
 
 @query("ngram_counts", f"WITH {GRAMS} SELECT doc_id, term, tf FROM tf")
 def ngram_counts(spark, sf_dir):
-    return f.ngram_counts(_documents(spark, sf_dir), ["doc_id"], "text")
+    return f.term_counts(_grams(spark, sf_dir), ["doc_id"])
 
 
 @query("vocabulary", f"WITH {VOCAB} SELECT term, cf, df, term_id FROM voc")
@@ -127,7 +131,7 @@ def idf_table(spark, sf_dir):
 
 def _weights(spark, sf_dir):
     vocab = materialize(_fitted(spark, sf_dir), "vocabulary")
-    return f.tfidf(ngram_counts(spark, sf_dir), vocab, ["doc_id"])
+    return f.tfidf(_grams(spark, sf_dir), vocab, ["doc_id"])
 
 
 @query("tfidf_weights", f"WITH {WEIGHTS} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
@@ -156,8 +160,8 @@ def tfidf_transform(spark, sf_dir):
     """The vocabulary of the documents applied to the conversations; unknown words are left out."""
     vocab = materialize(_fitted(spark, sf_dir), "vocabulary")
     talks = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    counts = f.ngram_counts(talks, ["conv_id", "turn"], "text")
-    vectors = f.sparse_vectors(counts, vocab, ["conv_id", "turn"], talks.drop("text"))
+    grams = f.ngram_rows(talks, ["conv_id", "turn"], "text")
+    vectors = f.sparse_vectors(grams, vocab, ["conv_id", "turn"], talks.drop("text"))
     total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
     by_id = F.aggregate(F.zip_with("terms", "weights", lambda i, w: i * w), F.lit(0.0), lambda a, w: a + w)
     return vectors.select(
