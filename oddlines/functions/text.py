@@ -7,7 +7,12 @@ from pyspark.sql import Column, functions as F
 # Character classes of the source formats, spelled out so that Java matches Unicode text.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
-_START, _END = rf"(?<!{WORD})", rf"(?!{WORD})"
+# every blank of the class above, as a set of characters to trim
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])) + "".join(
+    map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+# a digit is looked for first: the look-behind is dear and would be tried at every character
+_START, _END = rf"(?=\p{{Nd}})(?<!{WORD})", rf"(?!{WORD})"
 
 # What counts as a volatile token, in the order it is replaced.
 HEX = r"0x[0-9a-fA-F]+"
@@ -19,12 +24,13 @@ LEGACY_MASKS = ((HEX, "<HEX>"), (IPV4_LOOSE, "<IP>"), (NUMBER, "<NUM>"))
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def split_lines(text: Column) -> Column:
     """The physical lines of a text, split at LF, CRLF or CR."""
-    return F.split(text, "\r\n|\n|\r")
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.split(unix, "\n")
 
 
 def split_tokens(text: Column) -> Column:
@@ -32,6 +38,11 @@ def split_tokens(text: Column) -> Column:
     return F.split(text, rf"{SPACE}+")
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens of stripped, non-blank text."""
+    return F.regexp_count(text, F.lit(rf"{SPACE}+")) + 1
+
+
 def mask_volatile(text: Column, masks=CURRENT_MASKS) -> Column:
     """Replace hex literals, addresses and whole numbers by tags, case kept."""
     for pattern, tag in masks:
@@ -49,7 +60,7 @@ def mask_tokens_legacy(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of two or more word characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD}{{2,}})"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}{{2,}}"), F.lit(0))
 
 
 def with_bigrams(tokens: Column) -> Column:

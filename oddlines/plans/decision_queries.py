@@ -12,7 +12,7 @@ from oddlines.functions.stopwords import english_stop_words
 from oddlines.operators import decisions, features, forest, graph, metrics, reports
 from oddlines.plans import detect, tables as t
 from oddlines.plans.registry import CHECKS, query
-from oddlines.storage import materialize
+from oddlines.storage import materialize, spread
 
 
 def _embedding_vectors(spark, sf_dir):
@@ -70,7 +70,9 @@ def document_rows(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"), F.col("lang").alias("level"), "source", F.col("text").alias("event")
     )
-    return features.prepare_text(docs).select(F.lit("all").alias("model"), "seq", "combined")
+    # fitting reads its rows several times, so they are stored once masked
+    rows = features.prepare_text(spread(docs, "seq")).select(F.lit("all").alias("model"), "seq", "combined")
+    return materialize(rows, "rows")
 
 
 @query("score_with_saved_model")

@@ -70,16 +70,29 @@ lines AS (
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_path, source_folder, seq, value: each source as one file, documents appended in id order."""
-    from oddlines.operators.ordering import with_running
-    from oddlines.storage import materialize
+    """file_path, source_folder, doc_id, seq, value: each source as one file, documents appended in id order.
 
-    lines = document_lines(spark, sf_dir).select(
-        F.col("source_folder").alias("file_path"), "source_folder", "doc_id", "pos", "value"
+    Lines are numbered from the line counts of the documents before, so only
+    one narrow row a document is ordered.
+    """
+    from oddlines.operators.ordering import with_running
+    from oddlines.storage import materialize, spread
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    stripped = F.transform(split_lines(F.col("text")), strip_blanks)
+    kept = docs.select("doc_id", "source", F.filter(stripped, lambda line: line != "").alias("lines"))
+    kept = materialize(kept.withColumn("n", F.size("lines")), "documents")
+    placed = with_running(
+        kept.select("doc_id", "source", "n"), [F.col("doc_id")], ["source"], sums={"_before": F.col("n")}, include_current=False
     )
-    counted = with_running(lines, [F.col("doc_id"), F.col("pos")], ["file_path"], sums={"_nth": F.lit(1)})
+    lines = kept.select("doc_id", "source", F.posexplode("lines").alias("pos", "value"))
+    numbered = lines.join(placed.select("doc_id", "_before"), "doc_id")
     return materialize(
-        counted.select("file_path", "source_folder", "doc_id", (F.col("_nth") - 1).alias("seq"), "value"), "files"
+        numbered.select(
+            F.col("source").alias("file_path"), F.col("source").alias("source_folder"), "doc_id",
+            (F.col("_before") + F.col("pos")).alias("seq"), "value",
+        ),
+        "files",
     )
 
 
