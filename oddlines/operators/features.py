@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from oddlines.functions.text import mask_tokens, mask_tokens_legacy, with_bigrams, words
-from oddlines.storage import spread
+from oddlines.storage import materialize, spread
 
 MAX_FEATURES = 1000
 
@@ -67,24 +67,35 @@ def corpus_counts(counts: DataFrame, freq: str | None = None, model: Sequence[st
 
 
 def vocabulary(
-    counts: DataFrame,
+    rows: DataFrame,
+    key: Sequence[str],
     max_features: int = MAX_FEATURES,
     freq: str | None = None,
     model: Sequence[str] = (),
 ) -> DataFrame:
-    """The most frequent terms (ties by term): ``term``, ``term_id``, ``cf``, ``df``.
+    """The most frequent terms (ties by term) of term rows: ``term``, ``term_id``, ``cf``, ``df``.
 
-    ``term_id`` numbers the chosen terms in ascending order. With ``model``
-    columns each value of them gets a vocabulary of its own.
+    ``term_id`` numbers the chosen terms in ascending order; ``freq`` says how
+    often a text counts. With ``model`` columns each value of them gets a
+    vocabulary of its own. The terms are chosen by their totals alone, so only
+    the chosen ones are then counted text by text.
     """
-    totals = corpus_counts(counts, freq, model)
+    times = F.col(freq) if freq else F.lit(1).cast("long")
+    totals = rows.groupBy(*model, "term").agg(F.sum(times).alias("cf"))
     if model:
         rank = F.row_number().over(W.partitionBy(*model).orderBy(F.desc("cf"), "term"))
         top = totals.withColumn("_rank", rank).filter(F.col("_rank") <= max_features).drop("_rank")
     else:
         top = totals.orderBy(F.desc("cf"), "term").limit(max_features)
     # at most max_features rows of one model are numbered in one task
-    return top.withColumn("term_id", F.row_number().over(W.partitionBy(*model).orderBy("term")) - 1)
+    numbered = top.withColumn("term_id", F.row_number().over(W.partitionBy(*model).orderBy("term")) - 1)
+    numbered = materialize(numbered, "terms")
+    chosen = numbered.select(*model, "term")
+    known = rows.join(chosen if model else F.broadcast(chosen), [*model, "term"])
+    weight = [freq] if freq else []
+    texts = known.select(*model, *key, *weight, "term").distinct()
+    per_term = texts.groupBy(*model, "term").agg(F.sum(times).alias("df"))
+    return numbered.join(per_term, [*model, "term"])
 
 
 def with_idf(vocab: DataFrame, n_rows: Column) -> DataFrame:
@@ -129,10 +140,14 @@ def sparse_vectors(
         .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))  # as long as the vocabulary at most
     )
     squares = F.aggregate("_entries", F.lit(0.0), lambda acc, e: acc + e["x"] * e["x"])
-    shaped = known.withColumn("_length", F.sqrt(squares)).select(
+    # the length is bound by an outer lambda; as a column it would be worked out anew for each entry
+    scaled = F.transform(
+        F.array(F.sqrt(squares)), lambda length: F.transform("_entries", lambda e: e["x"] / length)
+    )
+    shaped = known.select(
         *keys,
         F.transform("_entries", lambda e: e["term_id"]).alias("terms"),
-        F.transform("_entries", lambda e: e["x"] / F.col("_length")).alias("weights"),
+        F.element_at(scaled, 1).alias("weights"),
     )
     return texts.join(shaped, keys, "left").withColumns(
         {

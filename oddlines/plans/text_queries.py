@@ -113,9 +113,9 @@ def ngram_counts(spark, sf_dir):
     return f.term_counts(_grams(spark, sf_dir), ["doc_id"])
 
 
-@query("vocabulary", f"WITH {VOCAB} SELECT term, cf, df, term_id FROM voc")
+@query("vocabulary", f"WITH {VOCAB} SELECT term, term_id, cf, df FROM voc")
 def vocabulary(spark, sf_dir):
-    return f.vocabulary(ngram_counts(spark, sf_dir))
+    return f.vocabulary(_grams(spark, sf_dir), ["doc_id"])
 
 
 def _fitted(spark, sf_dir):
