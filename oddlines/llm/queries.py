@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from oddlines.llm import bpe
+from oddlines.llm import bpe, secrets
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -23,3 +23,10 @@ def query(fn: Query) -> Query:
 def op6_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by fixed patterns and by learnt formats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.find_secrets(docs, secrets.infer(docs)))
