@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, secrets
+from oddlines.llm import bpe, chat, secrets, shards
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -19,6 +19,54 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation folded from its log, rendered and read back."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    tricky = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)]
+    rows = rows.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.render(chat.fold_events(chat.message_events(rows))))
+
+
+_ESCAPED = r"""regexp_replace({0}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"""
+CHECKS["op4_chat_formatting"] = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT
+    CAST(conv_id AS BIGINT) AS conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<|im_start|>') + length({_ESCAPED.format("role")}) + 1
+        + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, cut along size, source, language and id."""
+    docs = table(spark, sf_dir, "documents")
+    dims = {
+        "bytes": F.octet_length("text"),
+        "source": F.pmod(F.xxhash64("source"), F.lit(1 << 20)),
+        "lang": F.pmod(F.xxhash64("lang"), F.lit(1 << 20)),
+        "doc_id": F.col("doc_id"),
+    }
+    placed = shards.assign_shards(docs, dims, shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op6_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary."""
