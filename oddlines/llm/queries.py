@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, secrets, shards
+from oddlines.llm import bpe, chat, quality, secrets, shards
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -19,6 +19,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are drawn: those that look like rows labelled good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = quality.resample(docs, quality.good_ids(table(spark, sf_dir, "labels")))
+    return drawn.select("doc_id", "log_weight", "gumbel_key")
+
+
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation folded from its log, rendered and read back."""

@@ -77,22 +77,29 @@ def _pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def hashed_words(
-    texts: Sequence[str | None], classes: np.ndarray = SPACES, lower: bool = True
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each text where its words begin (one more entry at the end)."""
+    texts: Sequence[str | None], classes: np.ndarray = SPACES, lower: bool = True, stem: int = 0
+) -> tuple[np.ndarray, ...]:
+    """Hashes of all words, and for each text where its words begin (one more entry at the end).
+
+    With ``stem`` also the hashes of the words' first ``stem`` bytes.
+    """
     raw = [(t or "").encode() for t in texts]
     buf = np.frombuffer(b"\n".join(raw), np.uint8)
     if lower:
         buf = LOWER[buf]
     at = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=at[1:])
-    hashes, begins = [], []
+    hashes, begins, stems = [], [], []
     for begin, end in _pieces(buf):
         s, e = spans(buf[begin:end], classes)
         hashes.append(span_hashes(buf[begin:end], s, e))
         begins.append(s + begin)
+        if stem:
+            stems.append(span_hashes(buf[begin:end], s, np.minimum(e, s + stem)))
     starts = np.concatenate(begins) if begins else np.zeros(0, np.int64)
     words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    if stem:
+        return words, np.searchsorted(starts, at), np.concatenate(stems) if stems else words
     return words, np.searchsorted(starts, at)
 
 
