@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, quality, secrets, shards
+from oddlines.llm import bpe, chat, quality, secrets, setjoin, shards
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -27,6 +27,12 @@ def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "log_weight", "gumbel_key")
 
 
+@query
+def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 0.9 over three-word shingles."""
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation folded from its log, rendered and read back."""

@@ -76,6 +76,19 @@ def _pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def portions(texts: Sequence[str | None], characters: int = 1 << 21) -> Iterator[Sequence[str | None]]:
+    """The texts in order, in parts of about so many characters (a longer text is a part of its own)."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > begin and size + n > characters:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def hashed_words(
     texts: Sequence[str | None], classes: np.ndarray = SPACES, lower: bool = True, stem: int = 0
 ) -> tuple[np.ndarray, ...]:
