@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlines.llm.common import kth_largest, partitions
-from oddlines.llm.words import RUNS, hashed_words, mix
+from oddlines.llm.words import RUNS, hashed_words, mix, portions
 from oddlines.storage import materialize
 
 TABLE = 1 << 19  # buckets of each of two hash tables
@@ -79,9 +79,10 @@ def count_models(docs: DataFrame, target: DataFrame, text: str = "text") -> Data
         raw, wanted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part, into in ((batch["text"], raw), (batch["text"][batch["wanted"] == 1], wanted)):
-                if len(part):
-                    one, two, _ = buckets(list(part))
-                    into += np.bincount(one, minlength=BUCKETS) + np.bincount(two, minlength=BUCKETS)
+                for texts in portions(list(part)):
+                    one, two, _ = buckets(texts)
+                    into += np.bincount(one, minlength=BUCKETS)
+                    into += np.bincount(two, minlength=BUCKETS)
         for begin in range(0, BUCKETS, CHUNK):
             part = slice(begin, begin + CHUNK)
             if raw[part].any():
@@ -129,6 +130,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarra
 def log_weights(texts: list[str | None], model: np.ndarray | None) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
+    if len(parts := list(portions(texts))) > 1:
+        return np.concatenate([log_weights(part, model) for part in parts])
     one, two, owner = buckets(texts)
     ratio = np.maximum(model[one], model[two]).astype(np.float64)  # what only one table says is a collision there
     return np.round(np.bincount(owner, ratio, len(texts)), 6)
