@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, quality, secrets, setjoin, shards, sitetree
+from oddlines.llm import bpe, chat, quality, secrets, setjoin, shards, sitetree, vectors
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -99,3 +99,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, by fixed patterns and by learnt formats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digests(secrets.find_secrets(docs, secrets.infer(docs)))
+
+
+@query
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
