@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlines.llm.common import kth_largest, partitions
-from oddlines.llm.words import RUNS, hashed_words, mix, portions
+from oddlines.llm.words import RUNS, distinct, hashed_words, mix, portions
 from oddlines.storage import materialize
 
 TABLE = 1 << 19  # buckets of each of two hash tables
 BUCKETS = 2 * TABLE
-CHUNK = 1 << 12
+CHUNK = 1 << 9
 TARGET_SAMPLE = 20_000  # labelled rows the target model is counted on
 LEAST_LOG = 1.0  # smaller log ratios of a bucket count as none
 LEAST_Z = 3.0  # deviations from the raw share, in standard deviations, that count
@@ -62,7 +62,7 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         share = (8 * stutter // np.maximum(1, np.diff(bounds))).astype(np.uint64)
         grams.append(mix(share ^ _SAME)[share > 0] >> shift)
         owners.append(np.flatnonzero(share > 0))
-    keys = np.unique(np.concatenate(owners) << 2 * bits | np.concatenate(grams).astype(np.int64))
+    keys = distinct(np.concatenate(owners) << 2 * bits | np.concatenate(grams).astype(np.int64))
     return keys >> bits & (TABLE - 1), (keys & (TABLE - 1)) + TABLE, keys >> 2 * bits
 
 
@@ -76,29 +76,33 @@ def count_models(docs: DataFrame, target: DataFrame, text: str = "text") -> Data
     rows = rows.join(F.broadcast(target.withColumn("wanted", F.lit(1))), "doc_id", "left")  # TARGET_SAMPLE ids at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, wanted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        # a task counts fewer texts than fit 32 bits
+        raw, wanted = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for part, into in ((batch["text"], raw), (batch["text"][batch["wanted"] == 1], wanted)):
                 for texts in portions(list(part)):
                     one, two, _ = buckets(texts)
-                    into += np.bincount(one, minlength=BUCKETS)
-                    into += np.bincount(two, minlength=BUCKETS)
-        for begin in range(0, BUCKETS, CHUNK):
-            part = slice(begin, begin + CHUNK)
-            if raw[part].any():
-                yield pd.DataFrame({"chunk": [begin // CHUNK], "raw": [raw[part]], "target": [wanted[part]]})
+                    into += np.bincount(np.concatenate([one, two]), minlength=BUCKETS).astype(np.int32)
+        held = np.flatnonzero(raw.reshape(-1, CHUNK).any(axis=1))
+        for some in np.array_split(held, max(1, len(held) // 64)):
+            rows = {"raw": list(raw.reshape(-1, CHUNK)[some]), "target": list(wanted.reshape(-1, CHUNK)[some])}
+            if len(some):
+                yield pd.DataFrame({"chunk": some.astype(np.int32), **rows})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw, wanted in batch.itertuples(index=False):
-                sums[chunk] = sums.get(chunk, 0) + np.stack([raw, wanted])
+                sums[chunk] = sums.get(chunk, 0) + np.stack([raw, wanted]).astype(np.int64)
         for chunk, (raw, wanted) in sums.items():
             yield pd.DataFrame({"chunk": [chunk], "raw": [raw], "target": [wanted]})
 
-    schema = "chunk int, raw array<long>, target array<long>"
-    counted = rows.select("text", "wanted").mapInPandas(count, schema)
-    return counted.repartition(partitions(docs.sparkSession), "chunk").mapInPandas(add, schema)
+    spark = docs.sparkSession
+    # each task sends all buckets: their number follows the cores, not the files
+    rows = rows.select("text", "wanted").coalesce(4 * spark.sparkContext.defaultParallelism)
+    counted = rows.mapInPandas(count, "chunk int, raw array<int>, target array<int>")
+    counted = counted.repartition(partitions(spark), "chunk")
+    return counted.mapInPandas(add, "chunk int, raw array<long>, target array<long>")
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarray | None:
@@ -158,6 +162,13 @@ def threshold(keys: DataFrame) -> float | None:
     return kth_largest(keys, "gumbel_key", max(1, round(k))) if k is not None else None
 
 
+def draw(docs: DataFrame, target_ids: DataFrame, seed: int = 0, text: str = "text") -> DataFrame:
+    """(doc_id, log_weight, gumbel_key) of the rows that are drawn."""
+    keys = materialize(weighted(docs, fit(docs, target_ids, text), seed, text).select("doc_id", "log_weight", "gumbel_key"), "keys")
+    last = threshold(keys)
+    return keys.filter(F.col("gumbel_key") >= F.lit(last)) if last is not None else keys.limit(0)
+
+
 def resample(docs: DataFrame, target_ids: DataFrame, seed: int = 0, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are drawn, with ``log_weight`` and ``gumbel_key``."""
     model = fit(docs, target_ids, text)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, quality, secrets, setjoin, shards, sitetree, vectors
+from oddlines.llm import bpe, chat, leaks, quality, secrets, setjoin, shards, sitetree, vectors
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -23,8 +23,7 @@ def query(fn: Query) -> Query:
 def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are drawn: those that look like rows labelled good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = quality.resample(docs, quality.good_ids(table(spark, sf_dir, "labels")))
-    return drawn.select("doc_id", "log_weight", "gumbel_key")
+    return quality.draw(docs, quality.good_ids(table(spark, sf_dir, "labels")))
 
 
 @query
@@ -105,3 +104,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with each item and how much of it they hold."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -98,9 +98,11 @@ def index_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             sets = token_sets(list(batch["text"]), shingle)
             rows = [(set_id(s), len(s), keys_of(s, percent)) for s in sets]
-            sid, n, keys = zip(*rows) if rows else ((), (), ())
+            sid, n, keys = zip(*rows)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "sid": sid, "n": n, "keys": keys})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid long, n long, keys array<long>"

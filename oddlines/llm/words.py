@@ -47,6 +47,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; sorting is far quicker here than hashing."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))] if len(values) else values
+
+
 def spans(buf: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each longest run of bytes of one class other than 0."""
     kind = classes[buf]
@@ -129,7 +135,7 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[n
         whole = mix(whole)
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= size:
-            yield np.unique(whole[a : b - size + 1])
+            yield distinct(whole[a : b - size + 1])
         elif b > a:
             part = np.array([pow(_BASE, k + 1, 1 << 64) for k in range(b - a)], np.uint64)
             yield mix(np.array([(words[a:b] * part).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
