@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, leaks, quality, secrets, setjoin, shards, sitetree, vectors
+from oddlines.llm import bpe, chat, leaks, quality, repeats, secrets, setjoin, shards, sitetree, vectors
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -110,3 +110,9 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with each item and how much of it they hold."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 200 that repeat."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
