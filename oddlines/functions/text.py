@@ -7,6 +7,12 @@ from pyspark.sql import Column, functions as F
 # Character classes of the source formats, spelled out so that Java matches Unicode text.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
+_LETTER, _BEFORE_DASH = r"[\p{L}_]", r"[\p{L}\p{N}_!\"'&.,?]"
+# between two letters a hyphen ends a piece of a word, and a dash of several is a piece of its own
+_PIECE_END = (
+    rf"(?<={_LETTER}{{2}}-|{_LETTER}-{_LETTER}-)(?={_LETTER}-?{_LETTER})"
+    rf"|(?<={_BEFORE_DASH})(?=-{{2,}}{WORD})|(?<={_BEFORE_DASH}-{{2,40}})(?={WORD})"
+)
 # every blank of the class above, as a set of characters to trim
 _BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])) + "".join(
     map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -73,10 +79,10 @@ def with_bigrams(tokens: Column) -> Column:
 
 
 def shorten(text: Column, width: int = 40, placeholder: str = "...") -> Column:
-    """Fold white space and cut at a word so that the label fits ``width``."""
+    """Fold white space and cut behind a word, or behind a hyphen inside one, so that the label fits ``width``."""
     folded = F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
     room = width - len(placeholder)
-    cut = F.rtrim(F.regexp_extract(folded, rf"^(.{{0,{room}}})(?:\s|$)", 1))
+    cut = F.rtrim(F.regexp_extract(folded, rf"^(.{{0,{room}}})(?:\s|$|{_PIECE_END})", 1))
     return F.when(F.length(folded) <= width, folded).otherwise(F.concat(cut, F.lit(placeholder)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlines.operators.ordering import with_running
+from oddlines.storage import materialize
 
 # The marker line, the duration texts understood, and the fallback.
 MARKER = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] EXPERIMENT_(START|END) file=(\S+) resource=(\S+)$"
@@ -53,28 +54,31 @@ def experiment_windows(markers: DataFrame, key: str = "id", duration: Column | N
     )
 
 
-def label_fault_windows(rows: DataFrame, windows: DataFrame, key: str = "seq", window_key: str = "id") -> DataFrame:
+def label_fault_windows(
+    rows: DataFrame, windows: DataFrame, key: str = "seq", window_key: str = "id", bucket_seconds: int = 3600
+) -> DataFrame:
     """Tag each row (key, ``ts``) with the experiments running at its time, ends excluded.
 
     Adds ``active_faults`` (windows open at that time), ``y_true`` (any open)
-    and ``fault`` (resource of the window that started last, while it is open).
-    Rows and window edges are swept once in time order, so neither long windows
-    nor crowded instants multiply rows.
+    and ``fault``, the resource of the open window that started last (of equal
+    starts the one of the largest key). Edges and rows are swept once in time order for the
+    count. The open windows come from the sweep too: the window that started last
+    is right while it is open; rows it has left are matched with the
+    windows that are still open in their time bucket.
     """
-    nothing = F.lit(None)
-    edge = F.struct(F.col("start_ts").alias("start"), F.col("end_ts").alias("end"), F.col("resource").alias("resource"))
-    edge_type = windows.select(edge.alias("e")).schema["e"].dataType
+    windows = windows.filter("end_ts > start_ts")  # others are never open
     starts = windows.select(
-        F.col("start_ts").alias("ts"), F.lit(1).alias("_kind"), F.col(window_key).alias("_key"),
-        F.lit(1).alias("_delta"), edge.alias("_open"),
+        F.col("start_ts").alias("ts"), F.lit(1).alias("_kind"), F.col(window_key).alias("_key"), F.lit(1).alias("_delta"),
+        F.struct("end_ts", "resource").alias("_open"),
     )
+    open_type = starts.schema["_open"].dataType
     stops = windows.select(
         F.col("end_ts").alias("ts"), F.lit(0).alias("_kind"), F.col(window_key).alias("_key"),
-        F.lit(-1).alias("_delta"), nothing.cast(edge_type).alias("_open"),
+        F.lit(-1).alias("_delta"), F.lit(None).cast(open_type).alias("_open"),
     )
     points = rows.select(
         "ts", F.lit(2).alias("_kind"), F.col(key).alias("_key"), F.lit(0).alias("_delta"),
-        nothing.cast(edge_type).alias("_open"),
+        F.lit(None).cast(open_type).alias("_open"),
     )
     swept = with_running(
         starts.unionByName(stops).unionByName(points),
@@ -82,12 +86,23 @@ def label_fault_windows(rows: DataFrame, windows: DataFrame, key: str = "seq", w
         sums={"active_faults": F.col("_delta")},
         lasts={"_last": F.col("_open")},
     ).filter(F.col("_kind") == 2)
-    return swept.select(
+    swept = materialize(swept.select("_key", "ts", "active_faults", "_last"), "swept")
+    last_open = F.coalesce(F.col("ts") < F.col("_last.end_ts"), F.lit(False))
+    bucket = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / bucket_seconds)
+    spread = windows.select(
+        F.col(window_key).alias("_w"), "start_ts", "end_ts", "resource",
+        F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("end_ts")))).alias("_bucket"),
+    )
+    missed = swept.filter((F.col("active_faults") > 0) & ~last_open).select("_key", "ts", bucket(F.col("ts")).alias("_bucket"))
+    found = missed.join(spread, "_bucket").filter((F.col("start_ts") <= F.col("ts")) & (F.col("ts") < F.col("end_ts")))
+    found = found.groupBy(F.col("_key").alias("_found")).agg(F.max_by("resource", F.struct("start_ts", "_w")).alias("_resource"))
+    labelled = swept.join(found, F.col("_key") == F.col("_found"), "left")
+    return labelled.select(
         F.col("_key").alias(key),
         "ts",
         "active_faults",
         (F.col("active_faults") > 0).alias("y_true"),
-        F.when(F.col("ts") < F.col("_last.end"), F.col("_last.resource")).alias("fault"),
+        F.when(last_open, F.col("_last.resource")).otherwise(F.col("_resource")).alias("fault"),
     )
 
 

@@ -157,9 +157,20 @@ def sparse_vectors(
     )
 
 
-def wide(weights: DataFrame, key: Sequence[str], terms: Sequence[str]) -> DataFrame:
-    """One named column per listed term; absent terms are 0."""
-    return weights.groupBy(*key).pivot("term", list(terms)).agg(F.max("weight")).fillna(0.0)
+def wide(vectors: DataFrame, key: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """One named column for each term, in the order of the term ids; a text without known terms has zeros.
+
+    ``vectors`` are those of ``sparse_vectors``; the row of a text is filled in place, nothing is shuffled.
+    """
+    size = len(terms)
+    filled = F.aggregate(
+        F.arrays_zip("terms", "weights"),
+        F.array_repeat(F.lit(0.0), 0),
+        lambda acc, e: F.concat(acc, F.array_repeat(F.lit(0.0), e["terms"] - F.size(acc)), F.array(e["weights"])),
+    )
+    dense = F.concat(filled, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(filled)))
+    rows = vectors.select(*key, dense.alias("_dense"))
+    return rows.select(*key, *[F.col("_dense")[i].alias(term) for i, term in enumerate(terms)])
 
 
 def shape(rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -169,5 +180,6 @@ def shape(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def row_sums(weights: DataFrame, key: Sequence[str]) -> DataFrame:
-    return weights.groupBy(*key).agg(F.sum("weight").alias("weight_sum"))
+def row_sums(vectors: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The sum of each text's weights; 0 for a text without known terms."""
+    return vectors.select(*key, F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x).alias("weight_sum"))

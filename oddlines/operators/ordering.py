@@ -96,8 +96,12 @@ def with_running(
         *[F.coalesce(F.sum(f"_in_{n}").over(inside), F.lit(0)).alias(f"_ls_{n}") for n in sums],
         *[F.last(f"_in_{n}", ignorenulls=True).over(inside).alias(f"_ll_{n}") for n in lasts],
     )
-    keys = [*group, "_chunk"]
-    joined = local.join(carried, keys)
+    # a null key is a group like any other
+    carried = carried.withColumnsRenamed({k: f"_of_{k}" for k in [*group, "_chunk"]})
+    match = F.col("_chunk") == F.col("_of__chunk")
+    for k in group:
+        match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = local.join(carried, match)
     return joined.select(
         *df.columns,
         *[(F.col(f"_cs_{n}") + F.col(f"_ls_{n}")).alias(n) for n in sums],
@@ -134,7 +138,11 @@ def percentiles(
     wanted = F.array(*[F.lit(float(f)) for f in fractions])
     if group:
         totals = running.groupBy(*group).agg(total.alias("_n"))
-        placed = running.join(totals, group)
+        match = F.lit(True)
+        for k in group:
+            match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        totals = totals.withColumnsRenamed({k: f"_of_{k}" for k in group})
+        placed = running.join(totals, match).drop(*[f"_of_{k}" for k in group])
     else:
         placed = running.withColumn("_n", running.agg(total).scalar())
     placed = placed.select("*", F.explode(wanted).alias("fraction"))

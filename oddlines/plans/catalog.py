@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oddlines.plans import (  # noqa: F401  (importing registers the queries)
+    check_queries,
     decision_queries,
     event_queries,
     line_queries,

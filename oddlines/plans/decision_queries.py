@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import functions as F
 
 from oddlines.functions.stopwords import english_stop_words
@@ -302,15 +298,8 @@ def similarity_edges(spark, sf_dir):
     return edges.select("i", "j", F.round("sim", 6).alias("sim"), F.round("weight", 5).alias("weight"), "title")
 
 
-def _spark_words() -> list[str]:
-    """Spark's English stop words, read from its installed library so that no session is needed."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 def edges_sql() -> str:
-    stops = ", ".join(f"'{w}'" for w in english_stop_words(_spark_words()) if w)
+    stops = ", ".join(f"'{w}'" for w in english_stop_words())
     return rf"""WITH {t.FLAGGED}, {NODES},
     words AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM nodes),
     tf AS (SELECT id, term, count(*) AS tf FROM words WHERE term NOT IN ({stops}) GROUP BY ALL),
@@ -324,7 +313,4 @@ def edges_sql() -> str:
     FROM pairs WHERE sim > 0.05"""
 
 
-try:
-    CHECKS["similarity_edges"] = edges_sql()
-except (StopIteration, OSError, KeyError):  # a Spark install without its own word list
-    pass
+CHECKS["similarity_edges"] = edges_sql()

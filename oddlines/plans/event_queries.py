@@ -194,12 +194,10 @@ def pod_restarts(spark, sf_dir):
     f"""WITH {t.WINDOWS},
     active AS (SELECT e.event_id AS seq, count(w.id) AS active_faults FROM events e
                LEFT JOIN wins w ON e.ts >= w.start_ts AND e.ts < w.end_ts GROUP BY e.event_id),
-    last_started AS (
-      SELECT e.event_id AS seq, e.ts, w.resource, w.end_ts FROM events e
-      ASOF LEFT JOIN (SELECT * FROM wins QUALIFY row_number() OVER (PARTITION BY start_ts ORDER BY id DESC) = 1) w
-      ON e.ts >= w.start_ts)
-    SELECT seq, ts, active_faults, active_faults > 0 AS y_true, CASE WHEN ts < end_ts THEN resource END AS fault
-    FROM active JOIN last_started USING (seq)""",
+    open_last AS (SELECT e.event_id AS seq, w.resource FROM events e JOIN wins w ON e.ts >= w.start_ts AND e.ts < w.end_ts
+                  QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY w.start_ts DESC, w.id DESC) = 1)
+    SELECT seq, e.ts, active_faults, active_faults > 0 AS y_true, resource AS fault
+    FROM active JOIN events e ON e.event_id = seq LEFT JOIN open_last USING (seq)""",
 )
 def label_fault_windows(spark, sf_dir):
     rows = t.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "ts")

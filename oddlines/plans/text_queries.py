@@ -170,17 +170,27 @@ def tfidf_transform(spark, sf_dir):
     )
 
 
-# ten of the most common words of the texts
-WIDE_TERMS = ["the", "and", "in", "to", "is", "of", "la", "de", "que", "die"]
-_WIDE_SQL = ", ".join(
-    f"""round(coalesce(max(CASE WHEN term = '{w}' THEN weight END), 0), 6) AS "{w}" """ for w in WIDE_TERMS
-)
+def _vectors(spark, sf_dir):
+    """Vectors of all documents, and the terms of the vocabulary by id."""
+    vocab = materialize(_fitted(spark, sf_dir), "vocabulary")
+    docs = _documents(spark, sf_dir)
+    vectors = f.sparse_vectors(_grams(spark, sf_dir), vocab, ["doc_id"], docs.select("doc_id"))
+    # as many names as the vocabulary may have terms
+    return vectors, [r["term"] for r in vocab.select("term_id", "term").orderBy("term_id").collect()]
 
 
-@query("tfidf_wide", f"WITH {WEIGHTS} SELECT doc_id, {_WIDE_SQL} FROM weights GROUP BY doc_id")
+@query(
+    "tfidf_wide",
+    f"""WITH {WEIGHTS},
+    cells AS (SELECT d.doc_id, v.term, round(coalesce(w.weight, 0), 6) AS weight FROM documents d CROSS JOIN voc v
+              LEFT JOIN weights w ON w.doc_id = d.doc_id AND w.term = v.term)
+    SELECT * FROM (PIVOT cells ON term USING max(weight) GROUP BY doc_id)""",
+)
 def tfidf_wide(spark, sf_dir):
-    weights = _weights(spark, sf_dir).select("doc_id", "term", F.round("weight", 6).alias("weight"))
-    return f.wide(weights, ["doc_id"], WIDE_TERMS)
+    """Every document with a column for each term of the vocabulary."""
+    vectors, terms = _vectors(spark, sf_dir)
+    rounded = vectors.withColumn("weights", F.transform("weights", lambda w: F.round(w, 6)))
+    return f.wide(rounded, ["doc_id"], terms)
 
 
 @query(
@@ -193,7 +203,9 @@ def feature_shape(spark, sf_dir):
 
 @query(
     "feature_row_sums",
-    f"WITH {WEIGHTS} SELECT doc_id, round(sum(weight), 6) AS weight_sum FROM weights GROUP BY doc_id",
+    f"""WITH {WEIGHTS} SELECT doc_id, round(coalesce(sum(weight), 0), 6) AS weight_sum
+    FROM documents LEFT JOIN weights USING (doc_id) GROUP BY doc_id""",
 )
 def feature_row_sums(spark, sf_dir):
-    return f.row_sums(_weights(spark, sf_dir), ["doc_id"]).select("doc_id", F.round("weight_sum", 6).alias("weight_sum"))
+    vectors, _ = _vectors(spark, sf_dir)
+    return f.row_sums(vectors, ["doc_id"]).select("doc_id", F.round("weight_sum", 6).alias("weight_sum"))

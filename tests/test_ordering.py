@@ -59,3 +59,12 @@ def test_percentiles(spark, fractions):
     whole = {r["fraction"]: r["percentile"] for r in ordering.percentiles(df, "v", fractions).collect()}
     for f in fractions:
         assert whole[f] == pytest.approx(np.percentile([v for _, v, _ in values], 100 * f))
+
+
+def test_null_keys_are_a_group(spark):
+    rows = [(1, None, 5.0), (2, "a", 1.0), (3, None, 7.0), (4, "a", 2.0)]
+    df = spark.createDataFrame(rows, "id int, g string, v double")
+    got = ordering.with_running(df, [F.col("id")], ["g"], sums={"s": F.col("v")}).collect()
+    assert sorted((r.id, r.s) for r in got) == [(1, 5.0), (2, 1.0), (3, 12.0), (4, 3.0)]
+    found = ordering.percentiles(df, "v", [1.0], group=["g"]).collect()
+    assert {(r.g, r.percentile) for r in found} == {(None, 7.0), ("a", 2.0)}

@@ -120,3 +120,19 @@ def test_pod_lines(spark):
     assert [(r["pod"], r["ready"], r["restarts"], r["new_restarts"]) for r in got] == [
         ("demo-app-1", True, 2, 0), ("demo-app-1", False, 5, 3),
     ]
+
+
+def test_numbers_over_many_splits_with_blank_lines(spark, tmp_path):
+    text = [f"line {i}" if i % 2 else "" for i in range(2000)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.log").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        read = lines.read_log_lines(spark, [str(tmp_path / "a")])
+        first = lines.strip_blank_lines(lines.with_file_sequence(read)).select("seq", "value").collect()
+        last = lines.with_file_sequence(lines.strip_blank_lines(read)).select("seq", "value").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.seq, r.value) for r in first) == [(i, f"line {i}") for i in range(1, 2000, 2)]
+    assert [r.value for r in sorted(last)] == [f"line {i}" for i in range(1, 2000, 2)] and len({r.seq for r in last}) == 1000

@@ -58,6 +58,8 @@ def test_shorten_like_textwrap(spark):
     lines = [
         "short", "a" * 60, "word " * 20, "  spaced\t out   text " * 5, "well-known-hyphenated words in a long line here",
         "x" * 37 + " tail tail", "x" * 38 + " tail tail", "exactly forty characters are in this row!",
+        "alpha beta gamma delta epsilon-zeta-eta-theta iota", "one two three four five six 12-34-56-78-90 seven",
+        "a-b-c-d-e-f-g-h-i-j-k-l-m-n-o-p-q-r-s-t-u-v-w", "and then it stopped--nobody had known it before", "well-known and semi-well-known-facts about-them all",
     ]
     assert column(spark, lines, shorten) == [textwrap.shorten(x, width=40, placeholder="...") for x in lines]
 
