@@ -42,6 +42,7 @@ RANK = 256
 COVER = 0.75
 PARAPHRASE = 0.6
 ANSWER = 8
+TOGETHER = 96  # passages multiplied with the basis at a time
 LEAST = 8
 NEAR = 0.1  # cosine in the latent space from which a passage is a candidate
 
@@ -199,8 +200,8 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds:
             total = np.zeros((size, rank))
             base, weights = shared.value
             for batch in batches:
-                for begin in range(0, len(batch), 1000):
-                    rows = list(batch["words"][begin : begin + 1000])
+                for begin in range(0, len(batch), TOGETHER):
+                    rows = list(batch["words"][begin : begin + TOGETHER])
                     latent = _project(rows, weights, base)
                     owner, words, weight = tfidf(rows, weights)
                     order = np.argsort(words, kind="stable")
@@ -302,8 +303,8 @@ def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
         holds = np.zeros(len(idf) + 1, bool)
         for batch in batches:
             out = []
-            for begin in range(0, len(batch), 1000):
-                rows = [np.asarray(w) for w in batch["words"][begin : begin + 1000]]
+            for begin in range(0, len(batch), TOGETHER):
+                rows = [np.asarray(w) for w in batch["words"][begin : begin + TOGETHER]]
                 own = _project(rows, idf, basis)
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 for i, j in np.argwhere(own @ latent.T >= NEAR).tolist():
