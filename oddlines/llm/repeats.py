@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from oddlines.llm.common import partitions
 from oddlines.llm.words import span_hashes
-from oddlines.storage import materialize
+from oddlines.storage import materialize, new_path
 
 LENGTH = 200
 GRAM = 24
@@ -45,6 +45,13 @@ ROWS = 12_000
 _TEXT = "t long, n int"
 
 
+def _store(df: DataFrame, label: str) -> DataFrame:
+    """A work table packed tighter than others: pieces hold several times the bytes they stand for."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each ``width`` neighbours."""
     n = len(keys)
@@ -284,14 +291,14 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     )
     texts = docs.filter(F.col("n") >= LENGTH)
     groups = materialize(texts.groupBy("t", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    found = materialize(anchors(texts.select("t", "n", "text")), "anchors")
+    found = _store(anchors(texts.select("t", "n", "text")), "anchors")
     twice = found.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("rows")).filter("all > 1")
     wanted = found.select("t", "n", "key").distinct().join(twice, "key").groupBy("t", "n").agg(
         F.collect_list("key").alias("keys"),
         F.collect_list(F.when(F.col("rows") > HOT, F.col("key"))).alias("hot"),
     )
     one = texts.join(wanted.join(groups, ["t", "n"]), ["t", "n"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    cut = materialize(cut_pieces(one.select("t", "n", "text", "keys", "hot", "copies")), "pieces")
+    cut = _store(cut_pieces(one.select("t", "n", "text", "keys", "hot", "copies")), "pieces")
     plain = repeats_of(cut.filter("content IS NOT NULL"))
     single = cut.filter("content IS NULL").select("key", "other", "weight", F.explode("owners").alias("o"))
     often = single.groupBy("key", "other").agg(F.sum("weight").alias("all")).filter("all > 1")
