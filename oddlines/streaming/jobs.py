@@ -2,7 +2,7 @@
 
 Jobs that keep something between micro-batches write it as ``version=<batch id>``
 below their output folder and read the version before, so a batch that is run
-again after a failure gives the same outcome.
+again after a failure gives the same outcome. The last two versions are kept.
 """
 
 from __future__ import annotations
@@ -68,6 +68,16 @@ def _version(out: str, batch_id: int) -> str:
     return f"{out}/version={batch_id}"
 
 
+def drop_old_versions(spark: SparkSession, out: str, batch_id: int, kept: int = 2) -> None:
+    """Delete all but the last ``kept`` versions up to ``batch_id``; a batch that is run again needs the one before it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = batch_id - kept
+    while old >= 0 and fs.exists(hadoop(_version(out, old))):
+        fs.delete(hadoop(_version(out, old)), True)
+        old -= 1
+
+
 def newest_version(spark: SparkSession, out: str) -> DataFrame | None:
     """The latest complete version below ``out``."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -92,6 +102,7 @@ def live_counts(
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_version(out, batch_id))
+        drop_old_versions(batch.sparkSession, out, batch_id)
 
     return _each_batch(counts, keep, checkpoint, every, "complete")
 
@@ -106,6 +117,7 @@ def keep_latest(
         if batch_id > 0:
             rows = rows.unionByName(batch.sparkSession.read.parquet(_version(out, batch_id - 1)))
         reports.latest_rows(rows, n, key).write.mode("overwrite").parquet(_version(out, batch_id))
+        drop_old_versions(batch.sparkSession, out, batch_id)
 
     return _each_batch(stream, keep, checkpoint, every)
 
@@ -131,6 +143,7 @@ def refit_lines(
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         result, _ = detect_prepared(spark.read.parquet(store).drop("batch"), contamination)
         result.write.mode("overwrite").parquet(_version(out, batch_id))
+        drop_old_versions(spark, out, batch_id)
 
     return _each_batch(stream, refit, checkpoint, every)
 
@@ -155,6 +168,7 @@ def mine_stream(
         rows, states = templates.mine_with_state(batch, entry, rows_per_chunk)
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
         states.write.mode("overwrite").parquet(_version(f"{out}/templates", batch_id))
+        drop_old_versions(spark, f"{out}/templates", batch_id)
 
     return _each_batch(stream, mine, checkpoint, every)
 
