@@ -231,14 +231,14 @@ def _one_format(spark, sf_dir, name):
     return formats.parse_one(t.format_lines(spark, sf_dir), name).drop("value")
 
 
-_WHICH = f"""CASE WHEN regexp_matches(value, '{_APACHE}') THEN 'apache' WHEN regexp_matches(value, '{_SYSLOG}') THEN 'syslog'
+WHICH = f"""CASE WHEN regexp_matches(value, '{_APACHE}') THEN 'apache' WHEN regexp_matches(value, '{_SYSLOG}') THEN 'syslog'
   WHEN regexp_matches(value, '{_SPARK}') THEN 'spark' WHEN regexp_matches(value, '{_JSON}') THEN 'json_syslog'
   ELSE 'unmatched' END"""
 
 
 @query(
     "parse_logs",
-    f"""WITH {t.FORMAT_LINES}, tagged AS (SELECT id, value, {_WHICH} AS format FROM fl)
+    f"""WITH {t.FORMAT_LINES}, tagged AS (SELECT id, value, {WHICH} AS format FROM fl)
     SELECT id, format,
       CASE format WHEN 'apache' THEN {_ext(_APACHE, 1)} WHEN 'syslog' THEN {_ext(_SYSLOG, 1)}
         WHEN 'spark' THEN {_ext(_SPARK, 1)} ELSE {_ext(_JSON, 1)} END AS date,
@@ -256,7 +256,7 @@ def parse_logs(spark, sf_dir):
 
 @query(
     "parse_match_counts",
-    f"WITH {t.FORMAT_LINES} SELECT {_WHICH} AS format, count(*) AS lines FROM fl GROUP BY 1",
+    f"WITH {t.FORMAT_LINES} SELECT {WHICH} AS format, count(*) AS lines FROM fl GROUP BY 1",
 )
 def parse_match_counts(spark, sf_dir):
     return formats.match_counts(t.format_lines(spark, sf_dir))
