@@ -34,7 +34,8 @@ BUCKETS = 2 * TABLE
 CHUNK = 1 << 9
 TARGET_SAMPLE = 20_000  # labelled rows the target model is counted on
 LEAST_LOG = 1.0  # smaller log ratios of a bucket count as none
-LEAST_Z = 3.0  # deviations from the raw share, in standard deviations, that count
+FREQUENT = 4.0  # expected count from which a bucket is tested at all
+FALSE = 0.1  # buckets that may be taken for rare among target texts by chance
 STEM = 6  # bytes of a word's beginning that count as one more n-gram
 _STEM = np.uint64(0x2545F4914F6CDD1D)
 _SAME = np.uint64(0x51ED270B7F4A7C15)
@@ -105,6 +106,12 @@ def count_models(docs: DataFrame, target: DataFrame, text: str = "text") -> Data
     return counted.mapInPandas(add, "chunk int, raw array<long>, target array<long>")
 
 
+def contrast(wanted: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log ratio of counts, and the deviance of a Poisson count from what is expected."""
+    part = wanted * np.log(np.maximum(wanted, 1) / np.maximum(expected, 1e-9))
+    return np.log((wanted + 1) / (expected + 1)), 2 * (part - wanted + expected)
+
+
 def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarray | None:
     """The log ratio of each bucket (0 where it says nothing); ``BUCKETS`` single floats. None without target rows."""
     ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
@@ -115,14 +122,16 @@ def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarra
     if not m:
         return None
 
+    tested = F.size(F.filter("raw", lambda x: x * (m / n) >= FREQUENT))
+    least = 2 * np.log(max(1, counts.agg(F.sum(tested)).first()[0]) / FALSE)
+
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, raw, wanted in batch.itertuples(index=False):
                 raw, wanted = np.asarray(raw, float), np.asarray(wanted, float)
                 expected = raw * (m / n)
-                ratio = np.log((wanted + 1) / (expected + 1))
-                says = (ratio < -LEAST_LOG) & (expected - wanted > LEAST_Z * np.sqrt(expected + 1e-9))
-                at = np.flatnonzero(says)
+                ratio, deviance = contrast(wanted, expected)
+                at = np.flatnonzero((ratio < -LEAST_LOG) & (deviance > least) & (expected >= FREQUENT))
                 yield pd.DataFrame({"bucket": at + chunk * CHUNK, "ratio": ratio[at].astype(np.float32)})
 
     found = counts.mapInPandas(ratios, "bucket long, ratio float").toPandas()  # at most BUCKETS rows

@@ -53,9 +53,13 @@ def test_weights_against_a_plain_count(spark):
             raw[at] += 1
             wanted[at] += not b and i % 3 == 0
     expected = raw * wanted.sum() / raw.sum()
-    ratio = np.log((wanted + 1) / (expected + 1))
-    ratio[(ratio >= -quality.LEAST_LOG) | (expected - wanted <= quality.LEAST_Z * np.sqrt(expected + 1e-9))] = 0
-    assert np.allclose(model, ratio, atol=1e-6)
+    tested = expected >= quality.FREQUENT
+    for at in np.flatnonzero(tested):
+        ratio = np.log((wanted[at] + 1) / (expected[at] + 1))
+        deviance = 2 * ((wanted[at] * np.log(wanted[at] / expected[at]) if wanted[at] else 0) - wanted[at] + expected[at])
+        says = ratio < -quality.LEAST_LOG and deviance > 2 * np.log(tested.sum() / quality.FALSE)
+        assert np.isclose(model[at], ratio if says else 0, atol=1e-6)
+    assert not model[~tested].any() and model.any()
 
 
 def test_buckets_do_not_depend_on_the_batch():
