@@ -32,10 +32,11 @@ from oddlines.storage import materialize
 
 SAMPLE = 8192  # vectors the tree is fitted on
 BRANCHES = 16
-LEAF = 16  # sampled vectors below which a node is not split
+LEAF = 48  # sampled vectors below which a node is not split
 HELD_OUT = 64  # queries whose true neighbours calibrate the visits
 RECALL = 0.96
 BLOCK = 4096
+PAIRS = 1 << 18  # of queries and rows compared in one step
 
 
 @dataclass
@@ -133,24 +134,28 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with rows; the same for a pair in whatever batch."""
-    norms = np.sqrt((b * b).sum(axis=1)) * np.sqrt((a[None] * a[None]).sum(axis=1))
-    return (b * a).sum(axis=1) / norms
-
-
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the positions and scores of its ``k`` nearest rows of another id."""
-    near = _unit(queries) @ _unit(rows).T
-    for i, query in enumerate(query_ids.tolist()):
-        other = np.flatnonzero(ids != query)
-        if not len(other):
-            continue
-        values = near[i, other]
-        least = np.partition(values, -k)[-k] - 1e-9 if len(values) > k else -np.inf
-        other = other[values >= least]
-        score = cosine(queries[i], rows[other])
-        order = np.lexsort((ids[other], -score))[:k]
-        yield i, other[order], score[order]
+    """Cosines of the vectors in equal rows; the same for a pair in whatever batch."""
+    return (b * a).sum(axis=1) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum(axis=1)))
+
+
+def best(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, at (position of the row) and score of the ``k`` nearest rows of another id for each query."""
+    found = [pd.DataFrame({"query_id": asked[:0], "at": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    unit, step = _unit(rows), max(1, PAIRS // len(rows))
+    for begin in range(0, len(asked), step):
+        part = queries[begin : begin + step]
+        near = _unit(part) @ unit.T
+        near[asked[begin : begin + step, None] == ids] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] - 1e-9 if len(rows) > k else np.full(len(part), -2.0)
+        i, j = np.nonzero(near >= np.maximum(least, -2.0)[:, None])
+        score = cosine(part[i], rows[j])
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+        keep = rank < k
+        found.append(pd.DataFrame({"query_id": asked[begin + i[keep]], "at": j[keep], "score": score[keep]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -177,8 +182,8 @@ def true_neighbours(rows: DataFrame, queries: pd.DataFrame, k: int, tree: Tree |
                 continue
             ids, block = batch["id"].to_numpy(), _matrix(batch["v"])
             leaf = tree.place(_unit(block)) if tree else np.zeros(len(ids), np.int64)
-            out = [(asked[i], ids[j], s, leaf[j]) for i, at, score in best(asked, vectors, ids, block, k) for j, s in zip(at, score)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "leaf"])
+            out = best(asked, vectors, ids, block, k)
+            yield out.assign(vec_id=ids[out["at"]], leaf=leaf[out["at"]])[["query_id", "vec_id", "score", "leaf"]]
 
     return _top(rows.mapInPandas(run, "query_id long, vec_id long, score double, leaf long"), k)
 
@@ -230,7 +235,7 @@ def nearest(
                 # a frame a query: the vector goes along to every leaf
                 yield pd.DataFrame({"id": query, "v": [v] * len(leaves), "leaf": leaves})
 
-    asked = materialize(queries.repartition(partitions(spark), "id").mapInPandas(visit, schema), "visits")
+    asked = materialize(queries.repartition(partitions(spark)).mapInPandas(visit, schema), "visits")
     asking = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
     sizes = [(leaf, -(-n // BLOCK), -(-asking.get(leaf, 0) // BLOCK)) for leaf, n in held.items() if leaf in asking]
     pieces = F.broadcast(spark.createDataFrame(sizes, "leaf int, row_parts int, query_parts int"))  # a row a leaf
@@ -243,12 +248,11 @@ def nearest(
     task = ["leaf", "row_part", "query_part"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            asked_ids, ids = left["id"].to_numpy(), right["id"].to_numpy()
-            for i, at, score in best(asked_ids, _matrix(left["v"]), ids, _matrix(right["v"]), k):
-                out += [(asked_ids[i], ids[j], s) for j, s in zip(at, score)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        ids = right["id"].to_numpy()
+        out = best(left["id"].to_numpy(), _matrix(left["v"]), ids, _matrix(right["v"]), k)
+        return out.assign(vec_id=ids[out["at"]])[["query_id", "vec_id", "score"]]
 
     found = (
         cut(asked, "query_part", "row_part")
