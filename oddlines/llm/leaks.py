@@ -13,9 +13,8 @@ subsequence of its words with the item's, within a stretch of at most one and
 a half items, covers ``COVER`` of the item, or ``PARAPHRASE`` of it when it also
 covers nearly all of the item's answer, its last ``ANSWER`` words.
 
-A passage can hold an item only if it has one of the item's rarest words, so
-many of them that a text that covers ``PARAPHRASE`` of the item cannot avoid
-them all; other passages are not looked at further. This leaves out no leak.
+A passage can hold an item only if it has ``PARAPHRASE`` of the item's words, and so one of the
+rarest of them; other passages are not looked at further. This leaves out no leak.
 
 Words are runs of letters and digits in lower case. Items without words are
 left out; items of fewer than ``LEAST`` words must occur word for word. Null
@@ -131,8 +130,27 @@ def anchor_words(items: Items, df: np.ndarray) -> np.ndarray:
     return anchor
 
 
+def can_hold(items: Items, known: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which passages hold ``PARAPHRASE`` of some item's words, in whatever order; no leak does with fewer."""
+    lengths = np.array([len(w) for w in items.words])
+    flat, starts = np.concatenate(items.words), np.append(0, np.cumsum(lengths)[:-1])
+    step = max(1, (1 << 21) // len(flat))
+    found = [np.zeros(0, np.int64)]
+    for begin in range(0, len(start), step):
+        low, high = start[begin : begin + step], stop[begin : begin + step]
+        size = high - low
+        row = np.repeat(np.arange(len(low)), size)
+        at = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size) + np.repeat(low, size)
+        holds = np.zeros((len(low), len(items.vocabulary) + 1), np.uint8)
+        holds[row, known[at]] = 1
+        holds[:, -1] = 0  # words of no item
+        common = np.add.reduceat(holds[:, flat], starts, axis=1, dtype=np.int32)
+        found.append(begin + np.flatnonzero((common >= PARAPHRASE * lengths).any(axis=1)))
+    return np.concatenate(found)
+
+
 def passages_of(docs: DataFrame, items: Items, anchor: np.ndarray) -> DataFrame:
-    """(doc_id, words): the passages with an anchor word."""
+    """(doc_id, words): the passages with an anchor word that can hold an item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marked = np.append(anchor, False)  # -1: no word of an item
@@ -145,14 +163,17 @@ def passages_of(docs: DataFrame, items: Items, anchor: np.ndarray) -> DataFrame:
                 hits = np.flatnonzero(marked[known])
                 owner = np.searchsorted(bounds, hits, side="right") - 1
                 piece = (hits - bounds[owner]) // half
-                rows = []
-                for i, p in sorted({(i, q) for i, p in zip(owner.tolist(), piece.tolist()) for q in (p, p - 1)}):
-                    start, stop = bounds[i] + p * half, bounds[i + 1]
-                    if p >= 0 and (p == 0 or start + half < stop):  # a later passage begins only if it has new words
-                        rows.append((docs_[begin + i], known[start : min(stop, start + items.passage)].astype(np.int32)))
+                both = distinct(np.concatenate([owner << 32 | piece + 1, owner << 32 | piece]))
+                owner, piece = both >> 32, (both & ((1 << 32) - 1)) - 1
+                start, stop = bounds[owner] + piece * half, bounds[owner + 1]
+                ok = (piece >= 0) & ((piece == 0) | (start + half < stop))  # a later passage begins only if it has new words
+                owner, start = owner[ok], start[ok]
+                stop = np.minimum(stop[ok], start + items.passage)
+                keep = can_hold(items, known, start, stop)
+                if len(keep):
+                    words = [known[x:y].astype(np.int32) for x, y in zip(start[keep].tolist(), stop[keep].tolist())]
+                    yield pd.DataFrame({"doc_id": docs_[begin + owner[keep]], "words": words})
                 begin += len(part)
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, words array<int>")
@@ -300,22 +321,25 @@ def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, idf, basis, latent = shared.value
-        holds = np.zeros(len(idf) + 1, bool)
+        lengths = np.array([len(w) for w in items.words])
+        flat, starts = np.concatenate(items.words), np.append(0, np.cumsum(lengths)[:-1])
+        holds = np.zeros(len(idf) + 1, bool)  # the last: words of no item
         for batch in batches:
             out = []
             for begin in range(0, len(batch), TOGETHER):
                 rows = [np.asarray(w) for w in batch["words"][begin : begin + TOGETHER]]
                 own = _project(rows, idf, basis)
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-                for i, j in np.argwhere(own @ latent.T >= NEAR).tolist():
-                    holds[:] = False
+                near = own @ latent.T >= NEAR
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
                     holds[rows[i]] = True
-                    holds[-1] = False
-                    if holds[items.words[j]].mean() < PARAPHRASE:
-                        continue  # too few of the item's words at all
-                    hit, cover = is_leak(items.words[j], rows[i])
-                    if hit:
-                        out.append((batch["doc_id"].iloc[begin + i], items.ids[j], cover))
+                    # too few of an item's words at all, in whatever order, and it cannot be there
+                    enough = np.add.reduceat(holds[flat], starts, dtype=np.int64) >= PARAPHRASE * lengths
+                    for j in np.flatnonzero(enough & near[i]).tolist():
+                        hit, cover = is_leak(items.words[j], rows[i])
+                        if hit:
+                            out.append((batch["doc_id"].iloc[begin + i], items.ids[j], cover))
+                    holds[rows[i]] = False
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cover"])
 
     spread = passages.repartition(partitions(docs.sparkSession))
