@@ -13,8 +13,8 @@ subsequence of its words with the item's, within a stretch of at most one and
 a half items, covers ``COVER`` of the item, or ``PARAPHRASE`` of it when it also
 covers nearly all of the item's answer, its last ``ANSWER`` words.
 
-A passage can hold an item only if it has ``PARAPHRASE`` of the item's words, and so one of the
-rarest of them; other passages are not looked at further. This leaves out no leak.
+A passage can hold an item only if it has ``PARAPHRASE`` of the item's words; other passages are
+counted but not looked at further. This leaves out no leak.
 
 Words are runs of letters and digits in lower case. Items without words are
 left out; items of fewer than ``LEAST`` words must occur word for word. Null
@@ -37,11 +37,11 @@ from oddlines.llm.words import distinct, hashed_words, portions
 from oddlines.storage import materialize
 
 ITEMS = 20_000  # items that are searched for at once
-RANK = 256
+RANK = 128
 COVER = 0.75
 PARAPHRASE = 0.6
 ANSWER = 8
-TOGETHER = 96  # passages multiplied with the basis at a time
+CELLS = 1 << 21  # of the matrix of passages and words that is multiplied at a time
 LEAST = 8
 NEAR = 0.1  # cosine in the latent space from which a passage is a candidate
 
@@ -77,65 +77,15 @@ def read_items(rows: pd.DataFrame) -> Items | None:
     return Items(ids, words, vocabulary, 3 * max(map(len, words)))
 
 
-def _counts(items: Items, texts: list[str | None]) -> tuple[np.ndarray, int]:
-    """In how many passages each word occurs, and the number of passages."""
-    half, size = max(1, items.passage // 2), len(items.vocabulary)
-    df, n = np.zeros(size, np.int64), 0
-    for part in portions(texts):
-        hashes, bounds = hashed_words(part, LETTERS)
-        known = items.known(hashes)
-        at = np.flatnonzero(known >= 0)
-        owner = np.searchsorted(bounds, at, side="right") - 1
-        piece = (at - bounds[owner]) // half  # the half passage a word lies in; its passages are this and the one before
-        lengths = np.diff(bounds)
-        last = np.maximum(0, -(-(lengths - half) // half) - 1)  # number of each text's last passage
-        n += int((last + 1).sum())
-        base = np.append(0, np.cumsum(last + 2))[owner]
-        passages = []
-        for own in (piece, piece - 1):
-            ok = (own >= 0) & (own <= last[owner])
-            passages.append((base[ok] + own[ok]) * size + known[at[ok]])
-        df += np.bincount(distinct(np.concatenate(passages)) % size, minlength=size)
-    return df, n
-
-
-def passage_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Document frequencies of the items' words over all passages; one row a word reaches the driver."""
+def can_hold(items: Items, known: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages hold ``PARAPHRASE`` of some item's words, in whatever order; no leak does with fewer.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(len(items.vocabulary), np.int64), 0
-        for batch in batches:
-            d, m = _counts(items, list(batch["text"]))
-            df, n = df + d, n + m
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"word": np.append(at, -1), "n": np.append(df[at], n)})
-
-    counted = docs.select("text").mapInPandas(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    df, n = np.zeros(len(items.vocabulary), np.int64), 0
-    for word, count in counted.collect():
-        if word < 0:
-            n = count
-        else:
-            df[word] = count
-    return df, n
-
-
-def anchor_words(items: Items, df: np.ndarray) -> np.ndarray:
-    """Whether a word is one of the rarest of some item, enough of them that no leak can lack them all."""
-    anchor = np.zeros(len(df), bool)
-    for words in items.words:
-        need = int(np.ceil(min(PARAPHRASE, COVER) * len(words))) if len(words) >= LEAST else len(words)
-        rarest = words[np.argsort(df[words], kind="stable")]
-        anchor[rarest[: len(words) - need + 1]] = True
-    return anchor
-
-
-def can_hold(items: Items, known: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Which passages hold ``PARAPHRASE`` of some item's words, in whatever order; no leak does with fewer."""
+    Also in how many passages each word of the items occurs.
+    """
     lengths = np.array([len(w) for w in items.words])
     flat, starts = np.concatenate(items.words), np.append(0, np.cumsum(lengths)[:-1])
     step = max(1, (1 << 21) // len(flat))
-    found = [np.zeros(0, np.int64)]
+    found, counts = [np.zeros(0, np.int64)], np.zeros(len(items.vocabulary), np.int64)
     for begin in range(0, len(start), step):
         low, high = start[begin : begin + step], stop[begin : begin + step]
         size = high - low
@@ -144,39 +94,54 @@ def can_hold(items: Items, known: np.ndarray, start: np.ndarray, stop: np.ndarra
         holds = np.zeros((len(low), len(items.vocabulary) + 1), np.uint8)
         holds[row, known[at]] = 1
         holds[:, -1] = 0  # words of no item
+        counts += holds[:, :-1].sum(axis=0, dtype=np.int64)
         common = np.add.reduceat(holds[:, flat], starts, axis=1, dtype=np.int32)
         found.append(begin + np.flatnonzero((common >= PARAPHRASE * lengths).any(axis=1)))
-    return np.concatenate(found)
+    return np.concatenate(found), counts
 
 
-def passages_of(docs: DataFrame, items: Items, anchor: np.ndarray) -> DataFrame:
-    """(doc_id, words): the passages with an anchor word that can hold an item."""
+def passages_of(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, words, df): the passages that can hold an item, and one row a task that counts all passages.
+
+    ``df`` has for each word of the items the number of passages with it, and
+    last the number of passages; it is null in the rows of passages.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marked = np.append(anchor, False)  # -1: no word of an item
-        half = max(1, items.passage // 2)
+        size, half = len(items.vocabulary), max(1, items.passage // 2)
+        df = np.zeros(size + 1, np.int64)
         for batch in batches:
             begin, docs_ = 0, batch["doc_id"].to_numpy()
             for part in portions(list(batch["text"])):
                 hashes, bounds = hashed_words(part, LETTERS)
-                known = items.known(hashes)
-                hits = np.flatnonzero(marked[known])
-                owner = np.searchsorted(bounds, hits, side="right") - 1
-                piece = (hits - bounds[owner]) // half
-                both = distinct(np.concatenate([owner << 32 | piece + 1, owner << 32 | piece]))
-                owner, piece = both >> 32, (both & ((1 << 32) - 1)) - 1
-                start, stop = bounds[owner] + piece * half, bounds[owner + 1]
-                ok = (piece >= 0) & ((piece == 0) | (start + half < stop))  # a later passage begins only if it has new words
-                owner, start = owner[ok], start[ok]
-                stop = np.minimum(stop[ok], start + items.passage)
-                keep = can_hold(items, known, start, stop)
+                known, lengths = items.known(hashes), np.diff(bounds)
+                n = np.maximum(1, -(-lengths // half) - 1)  # a later passage begins only if it has new words
+                owner = np.repeat(np.arange(len(part)), n)
+                piece = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
+                start = bounds[owner] + piece * half
+                stop = np.minimum(bounds[owner + 1], start + items.passage)
+                keep, counts = can_hold(items, known, start, stop)
+                df[:size] += counts
+                df[size] += len(start)
                 if len(keep):
                     words = [known[x:y].astype(np.int32) for x, y in zip(start[keep].tolist(), stop[keep].tolist())]
-                    yield pd.DataFrame({"doc_id": docs_[begin + owner[keep]], "words": words})
+                    yield pd.DataFrame({"doc_id": docs_[begin + owner[keep]], "words": words, "df": None})
                 begin += len(part)
+        yield pd.DataFrame({"doc_id": [None], "words": [None], "df": [df]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, words array<int>")
+    # each task counts once: their number follows the cores, not the files
+    few = docs.select("doc_id", "text").coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInPandas(run, f"doc_id {kind}, words array<int>, df array<long>")
+
+
+def frequencies(passages: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Document frequencies of the items' words over all passages, and the number of passages."""
+    counted = passages.filter("df IS NOT NULL").select(F.posexplode("df").alias("word", "n")).groupBy("word").agg(F.sum("n"))
+    df = np.zeros(size + 1, np.int64)
+    for word, n in counted.collect():  # a row a word of the benchmark
+        df[word] = n
+    return df[:size], int(df[size])
 
 
 def tfidf(rows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,17 +158,21 @@ def tfidf(rows: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, words, weight / np.where(norm > 0, norm, 1)[owner]
 
 
-def _project(rows: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Each row's TF-IDF vector times ``basis``."""
+def _dense(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """The unit TF-IDF vectors as a matrix; callers bound the rows by the words."""
     owner, words, weight = tfidf(rows, idf)
-    out = np.zeros((len(rows), basis.shape[1]))
-    if len(owner):
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        out[owner[starts]] = np.add.reduceat(basis[words] * weight[:, None], starts, axis=0)
+    out = np.zeros((len(rows), len(idf)), np.float32)
+    out[owner, words] = weight
     return out
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 7) -> np.ndarray:
+def _blocks(batch: pd.DataFrame, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    step = max(1, CELLS // size)
+    for begin in range(0, len(batch), step):
+        yield begin, [np.asarray(w) for w in batch["words"][begin : begin + step]]
+
+
+def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 1, seed: int = 7) -> np.ndarray:
     """The ``rank`` leading right singular vectors of the passage matrix, by randomised subspace iteration.
 
     Each round multiplies the basis by the matrix and its transpose: tasks send
@@ -215,20 +184,15 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds:
     spark = passages.sparkSession
 
     def times(basis: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((basis, idf))  # words of the benchmark times rank
+        shared = spark.sparkContext.broadcast((basis.astype(np.float32), idf))  # words of the benchmark times rank
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((size, rank))
             base, weights = shared.value
             for batch in batches:
-                for begin in range(0, len(batch), TOGETHER):
-                    rows = list(batch["words"][begin : begin + TOGETHER])
-                    latent = _project(rows, weights, base)
-                    owner, words, weight = tfidf(rows, weights)
-                    order = np.argsort(words, kind="stable")
-                    starts = np.flatnonzero(np.diff(words[order], prepend=-1))
-                    if len(starts):
-                        total[words[order][starts]] += np.add.reduceat(latent[owner[order]] * weight[order, None], starts, axis=0)
+                for _, rows in _blocks(batch, size):
+                    matrix = _dense(rows, weights)
+                    total += matrix.T @ (matrix @ base)
             at = np.flatnonzero(total.any(axis=1))
             if len(at):
                 yield pd.DataFrame({"word": at.astype(np.int32), "sums": list(total[at])})
@@ -311,11 +275,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
-    df, n = passage_counts(docs, items)
+    stored = materialize(passages_of(docs, items), "passages")
+    df, n = frequencies(stored, len(items.vocabulary))
     idf = np.log((1 + n) / (1 + df)) + 1e-3
-    passages = materialize(passages_of(docs, items, anchor_words(items, df)), "passages")
+    passages = stored.filter("df IS NULL").select("doc_id", "words")
     basis = latent_basis(passages, idf)
-    latent = _project(items.words, idf, basis)
+    blocks = _blocks(pd.DataFrame({"words": items.words}), len(idf))
+    latent = np.concatenate([_dense(rows, idf) @ basis for _, rows in blocks])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     shared = docs.sparkSession.sparkContext.broadcast((items, idf, basis, latent))  # ITEMS items at most
 
@@ -326,9 +292,8 @@ def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
         holds = np.zeros(len(idf) + 1, bool)  # the last: words of no item
         for batch in batches:
             out = []
-            for begin in range(0, len(batch), TOGETHER):
-                rows = [np.asarray(w) for w in batch["words"][begin : begin + TOGETHER]]
-                own = _project(rows, idf, basis)
+            for begin, rows in _blocks(batch, len(idf)):
+                own = _dense(rows, idf) @ basis
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 near = own @ latent.T >= NEAR
                 for i in np.flatnonzero(near.any(axis=1)).tolist():
