@@ -200,6 +200,7 @@ def _ext(pattern: str, group: int) -> str:
 
 
 # the SQL twins spell the patterns out once more, in the other dialect
+# The line formats, spelled for DuckDB.
 _APACHE = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.*)$"
 _SYSLOG = r"^([A-Za-z]{3}\s+\d{2}\s+\d{2}:\d{2}:\d{2})\s+[\w+:]+\s+([^\[\]]+)\[.*?\]: (.*)$"
 _SPARK = r"^(\d{2}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})\s+(\w+)\s+([^:]+):\s+(.*)$"
@@ -262,6 +263,7 @@ def parse_match_counts(spark, sf_dir):
     return formats.match_counts(t.format_lines(spark, sf_dir))
 
 
+# The application's lines, spelled for DuckDB.
 _APP = r"^(?:(\S+Z) )?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \[(\w+)\] (.*)$"
 _INSERT = r"^\[DB INSERT\] type=(\S+) status=(\S+) msg=(.*)$"
 _REQUEST = r"^([A-Z]+) (\S+) → (\d{3}) \((\d+\.\d+)s\)$"
