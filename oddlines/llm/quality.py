@@ -5,10 +5,11 @@ target texts (a bounded sample of rows labelled good), one of the raw corpus,
 over all its rows. A text's log weight is the sum over its n-grams of
 log(target probability / raw probability). Only buckets whose counts differ
 beyond chance count, and only downwards: weights are at most 1, as for
-rejection. Texts are then drawn without replacement by Gumbel top-k: the k
-largest of log weight plus Gumbel noise, where k is the sum of the weights,
-the number of texts that rejection sampling would keep. Noise comes from a
-hash of id and text, so a draw can be repeated.
+rejection. Texts of weight 1 are all kept. Those of lower weight are drawn
+without replacement by Gumbel top-k: the k largest of log weight plus Gumbel
+noise, where k is the sum of their weights, the number of them that rejection
+sampling would keep. Noise comes from a hash of id and text, so a draw can be
+repeated.
 
 The first bytes of a word are an n-gram of their own. An n-gram counts once a text. A pair of equal words is one n-gram whatever the word, so stuttering text
 shows, and its share in eighths is one more. Null and empty texts have no evidence against them: weight 1. Repeated
@@ -166,16 +167,22 @@ def weighted(docs: DataFrame, model: np.ndarray | None, seed: int = 0, text: str
 
 
 def threshold(keys: DataFrame) -> float | None:
-    """The Gumbel key of the last text that is drawn, from a stored table of weights and keys."""
-    k = keys.agg(F.sum(F.least(F.lit(1.0), F.exp("log_weight")))).first()[0]
-    return kth_largest(keys, "gumbel_key", max(1, round(k))) if k is not None else None
+    """The Gumbel key of the last text drawn among those of weight below 1, from a stored table of weights and keys; None if none is."""
+    below = keys.filter("log_weight < 0")
+    k = below.agg(F.sum(F.exp("log_weight"))).first()[0]
+    return kth_largest(below, "gumbel_key", round(k)) if k is not None else None
+
+
+def chosen(last: float | None) -> Column:
+    """Texts of weight 1, and those drawn among the others."""
+    clean = F.col("log_weight") >= 0
+    return clean if last is None else clean | (F.col("gumbel_key") >= F.lit(last))
 
 
 def draw(docs: DataFrame, target_ids: DataFrame, seed: int = 0, text: str = "text") -> DataFrame:
     """(doc_id, log_weight, gumbel_key) of the rows that are drawn."""
     keys = materialize(weighted(docs, fit(docs, target_ids, text), seed, text).select("doc_id", "log_weight", "gumbel_key"), "keys")
-    last = threshold(keys)
-    return keys.filter(F.col("gumbel_key") >= F.lit(last)) if last is not None else keys.limit(0)
+    return keys.filter(chosen(threshold(keys)))
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, seed: int = 0, text: str = "text") -> DataFrame:
@@ -183,8 +190,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, seed: int = 0, text: str =
     model = fit(docs, target_ids, text)
     scored = weighted(docs, model, seed, text)
     keys = materialize(scored.select("log_weight", "gumbel_key"), "keys")
-    last = threshold(keys)
-    return scored.filter(F.col("gumbel_key") >= F.lit(last)) if last is not None else scored.limit(0)
+    return scored.filter(chosen(threshold(keys)))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:

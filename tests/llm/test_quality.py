@@ -62,6 +62,20 @@ def test_weights_against_a_plain_count(spark):
     assert not model[~tested].any() and model.any()
 
 
+def test_no_clean_text_is_lost_to_rejected_ones(spark, monkeypatch):
+    """A third of the rows has weight 0.3: all others stay, and 0.3 of these."""
+    model = np.zeros(quality.BUCKETS, np.float32)
+    one, two, _ = quality.buckets(["hot"])
+    model[[*one[:1], *two[:1]]] = np.log(0.3)
+    assert np.isclose(quality.log_weights(["hot", "cold"], model), [np.log(0.3), 0], atol=1e-5).all()
+    monkeypatch.setattr(quality, "fit", lambda *_: model)
+    docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"cold {i}") for i in range(6000)], "doc_id long, text string")
+    for kept in (quality.resample(docs, docs), quality.draw(docs, docs)):
+        ids = {r.doc_id for r in kept.collect()}
+        assert {i for i in range(6000) if i % 3} <= ids
+        assert sum(i % 3 == 0 for i in ids) == 600
+
+
 def test_buckets_do_not_depend_on_the_batch():
     texts = ["a b a b", "", None, "x", "the the the cat", "é" * 10]
     one, two, owner = quality.buckets(texts)
