@@ -8,13 +8,15 @@ frequencies count the passages of all documents. A randomised SVD of the
 passages that can hold an item gives the latent space: random directions are
 multiplied by the passage matrix and its transpose in tasks, and what is summed
 has one row for a word of the vocabulary. Passages and items that are near in
-that space are candidates. A candidate is a leak if the longest common
+that space are candidates and judged first; all other pairs that the word test
+below admits are judged too if some stretch has enough of the item's words, so what the
+space does not span is not lost. A candidate is a leak if the longest common
 subsequence of its words with the item's, within a stretch of at most one and
 a half items, covers ``COVER`` of the item, or ``PARAPHRASE`` of it when it also
 covers nearly all of the item's answer, its last ``ANSWER`` words.
 
-A passage can hold an item only if it has ``PARAPHRASE`` of the item's words; other passages are
-counted but not looked at further. This leaves out no leak.
+A passage can hold an item only if it has ``PARAPHRASE`` of the item's words (all, if the item has
+fewer than ``LEAST``); other passages are counted but not looked at further. This leaves out no leak.
 
 Words are runs of letters and digits in lower case. Items without words are
 left out; items of fewer than ``LEAST`` words must occur word for word. Null
@@ -43,7 +45,7 @@ PARAPHRASE = 0.6
 ANSWER = 8
 CELLS = 1 << 21  # of the matrix of passages and words that is multiplied at a time
 LEAST = 8
-NEAR = 0.1  # cosine in the latent space from which a passage is a candidate
+NEAR = 0.1  # cosine in the latent space from which a passage is judged without a count by stretches
 
 # 1: letter, digit or byte of a longer character; all else parts words
 LETTERS = np.zeros(256, np.uint8)
@@ -59,6 +61,11 @@ class Items:
     vocabulary: np.ndarray
     passage: int  # words of a passage
 
+    def least(self) -> np.ndarray:
+        """The words of each item that a passage must have at the least."""
+        lengths = np.array([len(w) for w in self.words])
+        return np.where(lengths < LEAST, lengths, PARAPHRASE * lengths - 1e-9)
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each word of a text, -1 for one that no item has."""
         at = np.searchsorted(self.vocabulary, hashes)
@@ -82,7 +89,7 @@ def can_hold(items: Items, known: np.ndarray, start: np.ndarray, stop: np.ndarra
 
     Also in how many passages each word of the items occurs.
     """
-    lengths = np.array([len(w) for w in items.words])
+    lengths, least = np.array([len(w) for w in items.words]), items.least()
     flat, starts = np.concatenate(items.words), np.append(0, np.cumsum(lengths)[:-1])
     step = max(1, (1 << 21) // len(flat))
     found, counts = [np.zeros(0, np.int64)], np.zeros(len(items.vocabulary), np.int64)
@@ -96,7 +103,7 @@ def can_hold(items: Items, known: np.ndarray, start: np.ndarray, stop: np.ndarra
         holds[:, -1] = 0  # words of no item
         counts += holds[:, :-1].sum(axis=0, dtype=np.int64)
         common = np.add.reduceat(holds[:, flat], starts, axis=1, dtype=np.int32)
-        found.append(begin + np.flatnonzero((common >= PARAPHRASE * lengths).any(axis=1)))
+        found.append(begin + np.flatnonzero((common >= least).any(axis=1)))
     return np.concatenate(found), counts
 
 
@@ -243,6 +250,21 @@ def common_length(item: list[int], text: list[int], width: int) -> int:
     return best
 
 
+def dense_enough(item: np.ndarray, text: np.ndarray, mine: np.ndarray) -> bool:
+    """Whether some stretch has as many places with words of the item as a leak has words in common with it.
+
+    ``mine`` is all False, a place for each word id and one more, and is left so.
+    """
+    mine[item] = True
+    places = np.flatnonzero(mine[text])
+    mine[item] = False
+    if len(item) < LEAST:
+        width, least = len(item), len(item)
+    else:
+        width, least = len(item) + len(item) // 2, int(np.ceil(PARAPHRASE * len(item) - 1e-9))
+    return bool(len(places) >= least and (places[least - 1 :] - places[: len(places) - least + 1] < width).any())
+
+
 def is_leak(item: np.ndarray, text: np.ndarray) -> tuple[bool, float]:
     """Whether a passage holds an item, and how much of it."""
     words, found = item.tolist(), text.tolist()
@@ -287,8 +309,9 @@ def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, idf, basis, latent = shared.value
-        lengths = np.array([len(w) for w in items.words])
+        lengths, least = np.array([len(w) for w in items.words]), items.least()
         flat, starts = np.concatenate(items.words), np.append(0, np.cumsum(lengths)[:-1])
+        mine = np.zeros(len(idf) + 1, bool)
         holds = np.zeros(len(idf) + 1, bool)  # the last: words of no item
         for batch in batches:
             out = []
@@ -296,11 +319,13 @@ def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
                 own = _dense(rows, idf) @ basis
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
                 near = own @ latent.T >= NEAR
-                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                for i in range(len(rows)):
                     holds[rows[i]] = True
                     # too few of an item's words at all, in whatever order, and it cannot be there
-                    enough = np.add.reduceat(holds[flat], starts, dtype=np.int64) >= PARAPHRASE * lengths
-                    for j in np.flatnonzero(enough & near[i]).tolist():
+                    enough = np.add.reduceat(holds[flat], starts, dtype=np.int64) >= least
+                    for j in np.flatnonzero(enough).tolist():
+                        if not near[i, j] and not dense_enough(items.words[j], rows[i], mine):
+                            continue
                         hit, cover = is_leak(items.words[j], rows[i])
                         if hit:
                             out.append((batch["doc_id"].iloc[begin + i], items.ids[j], cover))

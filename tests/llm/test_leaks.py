@@ -74,6 +74,22 @@ def test_paraphrases_and_clean_texts(spark):
     assert {900, 901} <= {r.doc_id for r in clean.collect()} and clean.filter("doc_id = 902").count() == 0
 
 
+def test_every_item_of_a_large_benchmark_is_found(spark):
+    """3000 items of 4 to 600 words, each once and word for word in a document of its own."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    weights = [1 / (i + 20) for i in range(4000)]
+    lengths = [600, 600, 200, *(rng.choice([4, 5, 6, 12, 25, 40]) for _ in range(2997))]
+    words = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+    bench = [(k, words(n)) for k, n in enumerate(lengths)]
+    docs = [(k, f"{words(rng.randint(0, 300))} {text} {words(rng.randint(0, 300))}") for k, text in bench]
+    found = leaks.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(bench, BENCH)
+    )
+    held = {r.doc_id for r in found.filter("doc_id = item_id AND cover = 1").collect()}
+    assert held == set(range(3000))
+
+
 def test_nothing_to_search(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], BENCH)
