@@ -14,8 +14,8 @@ are numpy steps over many anchors at once; pieces come in sequentially from a
 shuffle sorted by anchor, and what a task holds is bounded by ``ROWS`` pieces.
 
 Only anchors that occur twice have pieces, equal pieces are one with a weight,
-and texts that are equal are one text. An anchor with over ``HOT`` pieces would be too
-large for one task: its strings are counted one by one under a 128-bit hash instead,
+and texts that are equal are one text. An anchor that occurs over ``HOT`` times, in many texts or in
+few, would be too large for one task: its strings are counted one by one under a 128-bit hash instead,
 which is exact for any number of them.
 
 Null texts count as empty; shorter texts than ``length`` lose nothing; matches
@@ -42,6 +42,7 @@ GRAM = 24
 STRETCH = 1 << 20  # bytes looked at together
 HOT = 5000
 ROWS = 12_000
+NOTES = 1 << 18  # occurrences that a task gathers before it hands them on
 _TEXT = "t long, n int"
 
 
@@ -119,7 +120,7 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 
 def cut_pieces(texts: DataFrame) -> DataFrame:
-    """Pieces with the wanted anchors (``keys``), equal ones of a batch as one row.
+    """Pieces with the wanted anchors (``keys``), equal ones of up to ``NOTES`` neighbouring occurrences of a batch as one row.
 
     ``offset`` is how far the first string starts before the anchor, ``content``
     the bytes of all its strings, ``owners`` where it occurs. Strings of ``hot``
@@ -127,6 +128,21 @@ def cut_pieces(texts: DataFrame) -> DataFrame:
     """
     schema = f"key long, other long, offset int, content binary, weight long, owners array<struct<{_TEXT.replace(' ', ':').replace(',:', ',')},s:int>>"
 
+    def told(found: dict[tuple, list]) -> Iterator[pd.DataFrame]:
+        names = list(found)
+        for begin in range(0, len(names), 4000):
+            part = names[begin : begin + 4000]
+            yield pd.DataFrame(
+                {
+                    "key": [x[0] for x in part],
+                    "other": [x[1] for x in part],
+                    "offset": [x[2] for x in part],
+                    "content": [x[3] for x in part],
+                    "weight": [found[x][0] for x in part],
+                    "owners": [found[x][1] for x in part],
+                }
+            )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = _raw(batch["text"])
@@ -135,6 +151,7 @@ def cut_pieces(texts: DataFrame) -> DataFrame:
             ids = list(zip(batch["t"].tolist(), batch["n"].tolist()))
             copies = batch["copies"].tolist()
             found: dict[tuple, list] = {}
+            notes = 0
             for owner, first, last, place, key in pieces(raw):
                 for i in np.unique(owner):
                     rows = np.flatnonzero(owner == i)
@@ -145,21 +162,14 @@ def cut_pieces(texts: DataFrame) -> DataFrame:
                                 digest = hashlib.blake2b(raw[i][s : s + LENGTH], digest_size=16).digest()
                                 name = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), -1, None)
                                 _note(found, name, ids[i], s, copies[i])
+                            notes += l - f
                         else:
                             _note(found, (k, 0, p - f, raw[i][f : l + LENGTH]), ids[i], f, copies[i])
-            names = list(found)
-            for begin in range(0, len(names), 4000):
-                part = names[begin : begin + 4000]
-                yield pd.DataFrame(
-                    {
-                        "key": [x[0] for x in part],
-                        "other": [x[1] for x in part],
-                        "offset": [x[2] for x in part],
-                        "content": [x[3] for x in part],
-                        "weight": [found[x][0] for x in part],
-                        "owners": [found[x][1] for x in part],
-                    }
-                )
+                        notes += 1
+                        if notes >= NOTES:
+                            yield from told(found)
+                            found, notes = {}, 0
+            yield from told(found)
 
     return texts.mapInPandas(run, schema)
 
@@ -245,7 +255,7 @@ def repeats_of(cut: DataFrame) -> DataFrame:
                 final = rows["key"].iloc[-1]
                 done, rest = rows[rows["key"] != final], rows[rows["key"] == final]
                 yield from judge(done)
-                kept, held = [rest], 0  # an anchor's pieces are at most HOT
+                kept, held = [rest], len(rest)  # an anchor's pieces are at most HOT
         if kept:
             yield from judge(pd.concat(kept, ignore_index=True))
 
@@ -292,10 +302,10 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     texts = docs.filter(F.col("n") >= LENGTH)
     groups = materialize(texts.groupBy("t", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     found = _store(anchors(texts.select("t", "n", "text")), "anchors")
-    twice = found.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("rows")).filter("all > 1")
+    twice = found.groupBy("key").agg(F.sum("c").alias("all")).filter("all > 1")
     wanted = found.select("t", "n", "key").distinct().join(twice, "key").groupBy("t", "n").agg(
         F.collect_list("key").alias("keys"),
-        F.collect_list(F.when(F.col("rows") > HOT, F.col("key"))).alias("hot"),
+        F.collect_list(F.when(F.col("all") > HOT, F.col("key"))).alias("hot"),
     )
     one = texts.join(wanted.join(groups, ["t", "n"]), ["t", "n"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     cut = _store(cut_pieces(one.select("t", "n", "text", "keys", "hot", "copies")), "pieces")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oddlines.llm import repeats
 from oddlines.llm.queries import QUERIES
@@ -54,6 +55,24 @@ def test_same_as_counting_every_string(spark, monkeypatch, hot, stretch, batch):
     assert sorted(map(tuple, repeats.remove_repeats(docs).collect()), key=repr) == plain(rows)
 
 
+def test_one_text_with_many_pieces_on_one_anchor(spark, monkeypatch):
+    """6000 pieces of one anchor in one text: no task gets them as one group."""
+    rng = random.Random(6)
+    gram = min((rng.randbytes(12).hex().encode() for _ in range(20_000)), key=lambda g: repeats.span_hashes(np.frombuffer(g, np.uint8), np.array([0]), np.array([24]))[0])
+    block = lambda: rng.randbytes(90).hex().encode()
+    twice = block() + gram + block()
+    text = b"".join([twice, *(gram + block() for _ in range(6000)), twice]).decode()
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    counted = repeats.anchors(docs.selectExpr("1L AS t", "1 AS n", "text")).groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("rows"))
+    assert counted.filter(f"c > {repeats.HOT} AND rows <= {repeats.HOT}").count()
+    cut, judged = [], repeats.repeats_of
+    monkeypatch.setattr(repeats, "repeats_of", lambda df: cut.append(df) or judged(df))
+    found = [tuple(r) for r in repeats.remove_repeats(docs).collect()]
+    assert found == plain([(1, text)])
+    most = cut[0].groupBy("key").count().agg(F.max("count")).first()[0]
+    assert (most or 0) <= repeats.HOT
+
+
 def test_documents(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     found = sorted(map(tuple, QUERIES["op10_repeated_strings"](spark, sf_dir).collect()), key=repr)
