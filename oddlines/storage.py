@@ -44,3 +44,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     alone, such a stage would be packed into a few tasks.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a work table that nothing reads any more."""
+    if not path.startswith(work_root(spark)):
+        raise ValueError(f"{path} is not below the work folder")
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
