@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, leaks, quality, repeats, secrets, setjoin, shards, sitetree, vectors
+from oddlines.llm import bpe, chat, codes, leaks, quality, repeats, secrets, setjoin, shards, sitetree, vectors
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -116,3 +116,60 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings of 200 that repeat."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight codes a vector after six active-entry Lloyd rounds, with errors by vector and by label."""
+    return codes.code_rows(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The same rounds with every part compared with every entry, as one chain of table expressions."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+    SELECT p.vec_id, p.label, p.part, min(struct_pack(d := d, e := e)) AS best, any_value(p.x) AS x FROM (
+        SELECT p.vec_id, p.label, p.part, p.x, b.e,
+            list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts p JOIN book{r} b USING (part)
+    ) p GROUP BY p.vec_id, p.label, p.part
+)""")
+        if r < rounds:
+            steps.append(f"""
+cells{r} AS (
+    SELECT part, e, pos, CAST(sum(v) AS HUGEINT) AS s, count(*)::HUGEINT AS n
+    FROM (SELECT part, best.e AS e, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM near{r}) GROUP BY part, e, pos
+),
+book{r + 1} AS MATERIALIZED (
+    SELECT b.part, b.e, coalesce(c.x, b.x) AS x FROM book{r} b LEFT JOIN (
+        SELECT part, e, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY pos) AS x FROM cells{r} GROUP BY part, e
+    ) c USING (part, e)
+)""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda v: floor(4096 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+),
+parts AS MATERIALIZED (
+    SELECT vec_id, label, part, list_slice(v, part * len(v) // 8 + 1, (part + 1) * len(v) // 8) AS x
+    FROM kept, range(8) t(part)
+),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16),
+book0 AS MATERIALIZED (SELECT part, e, x FROM parts JOIN seeds USING (vec_id)),
+{",".join(steps)},
+digest AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM book{rounds}
+),
+coded AS (
+    SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY part) AS code,
+        sum(best.d)::BIGINT AS error
+    FROM near{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, digest
+"""
+
+
+CHECKS["op12_vector_codes"] = _codes_sql()
