@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, codes, leaks, quality, repeats, secrets, setjoin, shards, sitetree, vectors
+from oddlines.llm import bpe, chat, codes, leaks, phrases, quality, repeats, secrets, setjoin, shards, sitetree, vectors
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -173,3 +173,50 @@ FROM coded, digest
 
 
 CHECKS["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two to four words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op13_phrases"] = r"""
+WITH pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents
+    )
+),
+grams AS MATERIALIZED (
+    SELECT lang, words, count(*) AS f FROM (
+        SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda m:
+            list_transform(range(1, len(w) - m + 2), lambda i: list_slice(w, i, i + m - 1))))) AS words FROM pieces
+    ) GROUP BY lang, words
+),
+often AS MATERIALIZED (SELECT * FROM grams WHERE f >= 30),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE len(words) = 1 GROUP BY lang),
+inside AS (
+    SELECT DISTINCT lang, list_slice(words, i, i + m - 1) AS words, f
+    FROM often, range(2, 4) t(m), range(1, 4) s(i) WHERE len(words) > m AND i + m - 1 <= len(words)
+),
+free AS (
+    SELECT * FROM often o WHERE len(words) > 1
+        AND NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = o.lang AND x.words = o.words AND 100 * x.f >= 80 * o.f)
+),
+cuts AS (
+    SELECT o.lang, o.words, o.f AS a, k, x.f AS l, y.f AS r,
+        CAST((2000000 * o.f::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS BIGINT) AS score
+    FROM free o, range(1, 4) t(k), often x, often y
+    WHERE k < len(o.words) AND x.lang = o.lang AND y.lang = o.lang
+        AND x.words = list_slice(o.words, 1, k) AND y.words = list_slice(o.words, k + 1, len(o.words))
+),
+lowest AS (SELECT lang, words, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS c FROM cuts GROUP BY ALL),
+ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY c.score DESC, a DESC, array_to_string(words, ' ')) AS rank,
+        array_to_string(words, ' ') AS phrase, a, c.l AS l, c.r AS r, c.score AS score
+    FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
