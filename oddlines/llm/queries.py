@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from oddlines.llm import bpe, chat, codes, leaks, phrases, quality, repeats, secrets, setjoin, shards, sitetree, vectors
+from oddlines.llm import bpe, chat, codes, leaks, packing, phrases, quality, repeats, secrets, setjoin, shards, sitetree, vectors
 from oddlines.llm.common import table
 from oddlines.plans.registry import Query
 
@@ -118,6 +118,12 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 4096 tokens, each filled with neighbours of its first one."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight codes a vector after six active-entry Lloyd rounds, with errors by vector and by label."""
