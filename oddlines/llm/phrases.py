@@ -3,7 +3,7 @@
 A language's root stripe counts its words; the stripe of a prefix of one to three
 words counts the words behind it. Every task keeps the stripes of the texts it has read,
 cuts each into ``PARTS`` parts by the next word (what follows a very common word does not
-meet in one place) and sends them bundled by bucket; the tasks that receive
+meet in one place) and sends them on; the tasks that receive
 them merge them element by element. An entry of a stripe is the count of prefix and next
 word together, so merged stripes hold everything: extensions, totals of prefixes (the
 entry one stripe higher) and, as the largest entry of a stripe and of the stripes one word to the left,
@@ -30,6 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from oddlines.llm.common import partitions
@@ -40,7 +41,7 @@ PARTS = 16  # parts of a stripe
 BITS = 1 << 26  # size of a filter; a power of two
 SEGMENT = 1 << 15  # bits of a filter that are put together at a time
 WORDS, PORTION = 1 << 21, 1 << 20  # words counted, bytes taken apart at a time
-CELLS = 1 << 22  # entries of stripes that a merging task holds before it merges them
+CELLS = 1 << 20  # entries of stripes that a merging task takes in before it merges them
 SALTS, SLICES = 16, 64
 _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -194,28 +195,39 @@ def root_stripes(docs: DataFrame, least: int) -> DataFrame:
     return merged.filter((F.col("f") >= least) | F.col("word").isNull())
 
 
-_BUNDLE = "bucket int, lang string, " + ", ".join(f"w{i} array<long>" for i in range(1, 5)) + ", counts array<long>"
-
-
-def _bundles(lang: str, words: list[np.ndarray], counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Stripes with their entries as columns, one row a bucket; a prefix and a part of its next words name the bucket."""
-    key = np.full(len(counts), len(words), np.uint64)
-    for w in words[:-1]:
-        key = longer(key, w)
-    key = longer(key, words[-1] % np.uint64(PARTS)) + lang_hash(lang)
-    bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort([*words[::-1], bucket])
-    bucket = bucket[order]
-    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = pa.array(np.append(starts, len(bucket)).astype(np.int32))
-    columns = [pa.array(bucket[starts].astype(np.int32)), pa.array([lang] * len(starts), pa.string())]
-    for i in range(4):
-        if i < len(words):
-            columns.append(pa.ListArray.from_arrays(ends, pa.array(words[i][order].view(np.int64))))
-        else:
-            columns.append(pa.nulls(len(starts), pa.list_(pa.int64())))
-    columns.append(pa.ListArray.from_arrays(ends, pa.array(counts[order].astype(np.int64))))
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "w1", "w2", "w3", "w4", "counts"])
+_STRIPES = "lang string, prefix array<long>, part int, next array<long>, counts array<long>"
+
+
+def _stripes(lang: str, words: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """Stripes of the given phrases, each part of one a row."""
+    part = (words[-1] % np.uint64(PARTS)).astype(np.int32)
+    order = np.lexsort([words[-1], part, *words[-2::-1]])
+    keys = np.stack([*(w[order] for w in words[:-1]), part[order].astype(np.uint64)], axis=1)
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    size, ends = len(words) - 1, pa.array(np.append(starts, len(order)).astype(np.int32))
+    prefixes = pa.array(np.ascontiguousarray(keys[starts, :-1]).view(np.int64).ravel())
+    columns = [
+        pa.array([lang] * len(starts), pa.string()),
+        pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * size), prefixes),
+        pa.array(part[order][starts]),
+        pa.ListArray.from_arrays(ends, pa.array(words[-1][order].view(np.int64))),
+        pa.ListArray.from_arrays(ends, pa.array(counts[order].astype(np.int64))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "part", "next", "counts"])
+
+
+def _phrases(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, words of each phrase as a row, counts) of a batch of stripes, by language and length."""
+    sizes = pc.list_value_length(batch.column("prefix")).to_numpy()
+    langs = batch.column("lang").dictionary_encode()
+    which = langs.indices.to_numpy()
+    for kind in np.unique(which.astype(np.int64) << 8 | sizes).tolist():
+        rows = batch.filter(pa.array((which == kind >> 8) & (sizes == (kind & 255))))
+        prefix = rows.column("prefix").flatten().to_numpy().reshape(-1, kind & 255)
+        following = rows.column("next").flatten().to_numpy()
+        held = pc.list_value_length(rows.column("next")).to_numpy()
+        words = np.concatenate([np.repeat(prefix, held, axis=0), following[:, None]], axis=1)
+        yield langs.dictionary[kind >> 8].as_py(), words, rows.column("counts").flatten().to_numpy()
 
 
 def _marked(filter: Filter, lang: str, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -227,8 +239,8 @@ def _marked(filter: Filter, lang: str, codes: np.ndarray, hashes: np.ndarray) ->
     return good[codes]
 
 
-def pair_stripes(docs: DataFrame, words, buckets: int) -> DataFrame:
-    """Bundled stripes of one-word prefixes; ``words`` is the broadcast filter of frequent words."""
+def pair_stripes(docs: DataFrame, words) -> DataFrame:
+    """Stripes of one-word prefixes; ``words`` is the broadcast filter of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(words.value)
@@ -238,13 +250,13 @@ def pair_stripes(docs: DataFrame, words, buckets: int) -> DataFrame:
             at = np.flatnonzero(good[:-1] & good[1:])
             if len(at):
                 pairs, counts = np.unique(codes[at] << 32 | codes[at + 1], return_counts=True)
-                yield _bundles(lang, [hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]], counts, buckets)
+                yield _stripes(lang, [hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]], counts)
 
-    return docs.mapInArrow(run, _BUNDLE)
+    return docs.mapInArrow(run, _STRIPES)
 
 
-def long_stripes(docs: DataFrame, words, pairs, buckets: int) -> DataFrame:
-    """Bundled stripes of prefixes of two and three words whose pairs may all be frequent."""
+def long_stripes(docs: DataFrame, words, pairs) -> DataFrame:
+    """Stripes of prefixes of two and three words whose pairs may all be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_filter, pair_filter = Filter(words.value), Filter(pairs.value)
@@ -269,9 +281,9 @@ def long_stripes(docs: DataFrame, words, pairs, buckets: int) -> DataFrame:
                 keys, counts = np.unique(pair[i] << 32 | pair[i + reach], return_counts=True)
                 left, right = keys >> 32, keys & 0xFFFFFFFF
                 row = [first[left], second[left], *([first[right]] if reach == 2 else []), second[right]]
-                yield _bundles(lang, row, counts, buckets)
+                yield _stripes(lang, row, counts)
 
-    return docs.mapInArrow(run, _BUNDLE)
+    return docs.mapInArrow(run, _STRIPES)
 
 
 def _merged(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,24 +294,22 @@ def _merged(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return words[starts], np.add.reduceat(counts, starts)
 
 
-def merge_stripes(spark: SparkSession, bundles: DataFrame, least: int) -> DataFrame:
+def merge_stripes(spark: SparkSession, stripes: DataFrame, least: int) -> DataFrame:
     """(lang, words, key, f) of every entry of the merged stripes that is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        held: dict[tuple[str, int], int] = defaultdict(int)
-        merged_size: dict[tuple[str, int], int] = defaultdict(int)
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        entries: dict[tuple[str, int], int] = defaultdict(int)
+        merged: dict[tuple[str, int], int] = defaultdict(int)
         for batch in batches:
-            for i in range(batch.num_rows):
-                columns = [batch.column(f"w{k}")[i].values for k in range(1, 5)]
-                words = np.stack([c.to_numpy() for c in columns if c is not None], axis=1)
-                kind = batch.column("lang")[i].as_py(), words.shape[1]
-                stripes[kind].append((words, batch.column("counts")[i].values.to_numpy()))
-                held[kind] += len(words)
-                if held[kind] > 2 * merged_size[kind] + CELLS // 4:
-                    stripes[kind] = [_merged(*(np.concatenate(x) for x in zip(*stripes[kind])))]
-                    held[kind] = merged_size[kind] = len(stripes[kind][0][0])
-        for (lang, size), parts in stripes.items():
+            for lang, words, counts in _phrases(batch):
+                kind = lang, words.shape[1]
+                held[kind].append((words, counts))
+                entries[kind] += len(words)
+                if entries[kind] > 2 * merged[kind] + CELLS:
+                    held[kind] = [_merged(*(np.concatenate(x) for x in zip(*held[kind])))]
+                    entries[kind] = merged[kind] = len(held[kind][0][0])
+        for (lang, size), parts in held.items():
             words, counts = _merged(*(np.concatenate(x) for x in zip(*parts)))
             words, counts = words[counts >= least], counts[counts >= least]
             key = np.repeat(lang_hash(lang), len(words))
@@ -312,7 +322,7 @@ def merge_stripes(spark: SparkSession, bundles: DataFrame, least: int) -> DataFr
             ]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "key", "f"])
 
-    dealt = bundles.repartition(partitions(spark), "bucket")
+    dealt = stripes.repartition(partitions(spark), "lang", "prefix", "part")
     return dealt.mapInArrow(run, "lang string, words array<long>, key long, f long")
 
 
@@ -323,12 +333,11 @@ def frequent_phrases(docs: DataFrame, least: int = 30, bits: int = BITS) -> tupl
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.col("text").cast("string").cast("binary").alias("text"),
     )
-    buckets = 8 * partitions(spark)
     words = materialize(root_stripes(docs, least), "words")
     known = spark.sparkContext.broadcast(build_filter(spark, words.filter("word IS NOT NULL"), bits))
-    pairs = materialize(merge_stripes(spark, pair_stripes(docs, known, buckets), least), "pairs")
+    pairs = materialize(merge_stripes(spark, pair_stripes(docs, known), least), "pairs")
     paired = spark.sparkContext.broadcast(build_filter(spark, pairs, bits))
-    more = materialize(merge_stripes(spark, long_stripes(docs, known, paired, buckets), least), "phrases")
+    more = materialize(merge_stripes(spark, long_stripes(docs, known, paired), least), "phrases")
     return words, pairs.union(more)
 
 
