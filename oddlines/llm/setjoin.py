@@ -9,11 +9,15 @@ class of sizes, and a set also enters the class below if it can be the larger
 side of a pair there. A set with many empty blocks (a short one) enters its
 rarest-by-hash prefix tokens besides, since a pair might agree in empty blocks only.
 
-Each list names its smallest set as pivot, and sets joined by pivots form a
-candidate group. A group's intersections are derived from those of the group
-as a whole: tokens that the same sets hold are counted once, with a weight, so
-a set that is almost like another adds only the tokens in which it differs.
-Groups of over ``GROUP`` sets are cut into blocks, and each two blocks meet in
+Lists with the same sets are one list. Inside a list, sets are told apart by
+sketches of ``SKETCH`` bits (the parity of the tokens that fall on each bit): as many bits
+as differ, so many tokens differ at least, so a pair beyond what the similarity allows is left out without
+its texts, and no pair within it is. Sets joined by pairs that are left form a
+candidate group. A list of over ``CELL`` sets is not looked into; its sets are one group with its first one.
+
+Inside a group the intersections of a set with all others are derived from those of
+the set most like it whose answers are known: only tokens in which the two differ are looked up, and
+added or taken off. Groups of over ``GROUP`` sets are cut into blocks, and each two blocks meet in
 a task of their own; no pair is left out and none is written: what comes out
 is one root and one number of links a set.
 
@@ -32,13 +36,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from oddlines.llm.common import components, partitions
 from oddlines.llm.words import hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
 GROUP = 2000  # sets that one task compares with each other
+SKETCH, CELL = 1024, 4096  # bits of a sketch, sets of a list that are told apart by sketches
+ENTRIES, HELD = 1 << 20, 1 << 22  # list entries that a task sends at a time and that it holds of a bucket
 SPARE = 3  # blocks beyond those that may differ
 _PREFIX = 0x94D049BB133111EB
 
@@ -93,50 +100,229 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def index_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, sid, n, keys): each text's set, its size and the lists it enters."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each bit the parity of the tokens that fall on it."""
+    at = (mix(tokens) >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            sets = token_sets(list(batch["text"]), shingle)
-            rows = [(set_id(s), len(s), keys_of(s, percent)) for s in sets]
-            sid, n, keys = zip(*rows)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "sid": sid, "n": n, "keys": keys})
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid long, n long, keys array<long>"
-    return docs.mapInPandas(run, schema)
+def index_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest, sid, n, sketch): each text's set, its size and its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [(set_id(s), len(s), sketch(s)) for s in token_sets(batch.column("text").to_pylist(), shingle)]
+            sid, n, bits = zip(*sets) if sets else ((), (), ())
+            columns = [batch.column("doc_id"), batch.column("digest")]
+            columns += [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "sid", "n", "sketch"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {id_type}, digest long, sid long, n long, sketch binary")
+
+
+def list_entries(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, keys, sids): which sets enter which lists, many entries a row."""
+
+    def sent(keys: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
+        owner = np.repeat(np.array(sids, np.int64), [len(k) for k in keys])
+        key = np.concatenate([*keys, np.zeros(0, np.int64)])
+        bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort([key, bucket])
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = pa.array(np.append(starts, len(bucket)).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key, owner)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *columns], ["bucket", "keys", "sids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        sids: dict[int, None] = {}
+        held = 0
+        for batch in batches:
+            for tokens in token_sets(batch.column("text").to_pylist(), shingle):
+                sid = set_id(tokens)
+                if not len(tokens) or sid in sids:
+                    continue
+                sids[sid] = None
+                keys.append(keys_of(tokens, percent))
+                held += len(keys[-1])
+                if held > ENTRIES:
+                    yield sent(keys, list(sids))
+                    keys, sids, held = [], {}, 0
+        if held:
+            yield sent(keys, list(sids))
+
+    return docs.select("text").mapInArrow(run, "bucket int, keys array<long>, sids array<long>")
+
+
+def _unique_entries(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries once, by key and set, and where each list begins."""
+    order = np.lexsort([sids, keys])
+    keys, sids = keys[order], sids[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]))[: len(keys)]
+    keys, sids = keys[new], sids[new]
+    return keys, sids, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+
+
+def lists(entries: DataFrame, cell: int, most: int) -> DataFrame:
+    """(list, sids) of every list of two sets or more; a null name marks sets that stay together unseen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, waiting, held, limit = None, [], 0, most
+        hot: dict[int, int] = {}  # first set of each list that is not looked into
+
+        def batch(names: list, sids: list[np.ndarray]) -> pa.RecordBatch:
+            ends = pa.array(np.cumsum([0, *map(len, sids)]).astype(np.int32))
+            flat = pa.array(np.concatenate([*sids, np.zeros(0, np.int64)]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["list", "sids"])
+
+        def unseen(key: int, sids: np.ndarray) -> np.ndarray:
+            return np.append(hot.setdefault(key, int(sids[0])), sids)
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, held, limit
+            keys, sids, starts = _unique_entries(*(np.concatenate(x) for x in zip(*waiting)))
+            count = np.diff(np.append(starts, len(keys)))
+            at = [i for i in np.flatnonzero(count > 1 if hot else count > cell).tolist() if count[i] > cell or int(keys[starts[i]]) in hot]
+            at += [i for i in np.flatnonzero(count == 1).tolist() if int(keys[starts[i]]) in hot] if hot else []
+            if at:
+                yield batch([None] * len(at), [unseen(int(keys[starts[i]]), sids[starts[i] : starts[i] + count[i]]) for i in at])
+            rest = np.ones(len(starts), bool)
+            rest[at] = False
+            if last:
+                rest &= count > 1
+            inside = np.repeat(rest, count)
+            keys, sids, starts = _unique_entries(keys[inside], sids[inside])
+            if last and len(keys):
+                held_by = np.add.reduceat(mix(sids.view(np.uint64)), starts) + np.diff(np.append(starts, len(keys))).astype(np.uint64)
+                _, pick = np.unique(held_by, return_index=True)
+                ends = np.append(starts, len(keys))
+                yield batch(held_by[pick].view(np.int64).tolist(), [sids[starts[i] : ends[i + 1]] for i in pick.tolist()])
+            waiting, held = ([], 0) if last else ([(keys, sids)], len(keys))
+            limit = max(most, 2 * held)
+
+        for source in batches:
+            for i in range(source.num_rows):
+                if source.column("bucket")[i].as_py() != bucket:
+                    if waiting:
+                        yield from flush(True)
+                    bucket, hot, limit = source.column("bucket")[i].as_py(), {}, most
+                keys, sids = (source.column(c)[i].values.to_numpy() for c in ("keys", "sids"))
+                waiting.append((keys, sids))
+                held += len(keys)
+                if held > limit:
+                    yield from flush(False)
+        if waiting:
+            yield from flush(True)
+
+    n = partitions(entries.sparkSession)
+    dealt = entries.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "list long, sids array<long>")
+
+
+def may_link(bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sketches and sizes can reach the similarity; never false for those that do."""
+    differ = np.bitwise_count(bits ^ other).sum(axis=-1, dtype=np.int64)
+    total = n + m
+    common = -(-percent * total // (100 + percent))
+    return (differ <= total - 2 * common) & (common <= np.minimum(n, m))
+
+
+def _reached(sids: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of one list the first set that it is joined with by pairs that may be linked."""
+    first, left = sids.copy(), np.arange(len(sids))
+    while len(left):
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            i = queue.pop()
+            near = may_link(bits[left], n[left], bits[i], n[i], percent)
+            first[left[near]] = sids[root]
+            queue.extend(left[near].tolist())
+            left = left[~near]
+    return first
+
+
+def candidate_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, root): pairs that join the sets of every candidate group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for last, batch in _with_last(batches):
+            columns = [batch.column(c).to_numpy() for c in ("list", "sid", "n")]
+            columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(columns[0]), -1))
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns)]
+            name, sid, n, bits = columns
+            starts = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+            ends = np.append(starts[1:], len(name))
+            if not last and len(starts):  # the batch's last list may go on
+                rest = [x[starts[-1] :] for x in columns]
+                starts, ends = starts[:-1], ends[:-1]
+            pair = starts[ends - starts == 2]
+            near = pair[may_link(bits[pair], n[pair], bits[pair + 1], n[pair + 1], percent)]
+            told, roots = [sid[near + 1]], [sid[near]]
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if b - a > 2:
+                    told.append(sid[a:b])
+                    roots.append(_reached(sid[a:b], n[a:b], bits[a:b], percent))
+            told, roots = np.concatenate(told), np.concatenate(roots)
+            other = told != roots
+            yield pa.RecordBatch.from_arrays([pa.array(told[other]), pa.array(roots[other])], ["sid", "root"])
+
+    small = found.filter("list IS NOT NULL").dropDuplicates(["list"]).select("list", F.explode("sids").alias("sid"))
+    cells = small.join(sets.select("sid", "n", "sketch"), "sid").select("list", "sid", "n", "sketch")
+    cells = cells.repartition(partitions(found.sparkSession), "list").sortWithinPartitions("list", "sid")
+    unseen = found.filter("list IS NULL").select(F.explode("sids").alias("sid"), F.col("sids")[0].alias("root"))
+    return cells.mapInArrow(run, "sid long, root long").union(unseen).filter("sid != root").distinct()
+
+
+def _with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
+    before = None
+    for item in items:
+        if before is not None:
+            yield False, before
+        before = item
+    if before is not None:
+        yield True, before
 
 
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set the others it is linked with; with ``side`` only those on the other side.
 
-    Tokens held by exactly the same sets are one column of a weighted matrix.
+    A set's numbers of common tokens are those of the most similar set that has
+    them, plus the holders of each token that only it has, less those of each token it lacks.
     """
     g, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
+    tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(g), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    held = np.diff(np.append(starts, len(flat)))
-    label = mix(np.arange(1, g + 1, dtype=np.uint64))
-    pattern = np.add.reduceat(label[owner], starts)
-    shared = held > 1
-    _, pick, weight = np.unique(pattern[shared], return_index=True, return_counts=True)
-    starts, held = starts[shared][pick], held[shared][pick]
-    inter = np.zeros((g, g), np.float32)
-    for begin in range(0, len(starts), 2048):
-        s, h = starts[begin : begin + 2048], held[begin : begin + 2048]
-        columns = np.repeat(np.arange(len(s)), h)
-        rows = owner[np.repeat(s - np.append(0, np.cumsum(h)[:-1]), h) + np.arange(h.sum())]
-        matrix = np.zeros((g, len(s)), np.float32)
-        matrix[rows, columns] = 1
-        inter += (matrix * weight[begin : begin + 2048].astype(np.float32)) @ matrix.T
+    holders = owner[np.argsort(flat, kind="stable")]  # by token
+    begins = np.append(0, np.cumsum(np.bincount(flat, minlength=len(tokens))))
+    bounds = np.append(0, np.cumsum(sizes))
+
+    def held(which: np.ndarray) -> np.ndarray:
+        """How many of these tokens each set holds."""
+        counts = begins[which + 1] - begins[which]
+        at = np.repeat(begins[which] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
+        return np.bincount(holders[at], minlength=g)
+
+    known = np.zeros((g, g), np.int32)
+    likeness, pivot = np.zeros(g), np.full(g, -1)
     for i in range(g):
-        common = inter[i].astype(np.int64)
-        hit = 100 * common >= percent * (sizes[i] + sizes - common)
+        own = flat[bounds[i] : bounds[i + 1]]
+        p = pivot[i]
+        if p < 0:
+            common = held(own)
+        else:
+            his = flat[bounds[p] : bounds[p + 1]]
+            common = known[p] + held(np.setdiff1d(own, his, True)) - held(np.setdiff1d(his, own, True))
+        known[i] = common
+        union = sizes[i] + sizes - common
+        closer = common > likeness * union
+        closer[: i + 1] = False
+        likeness[closer], pivot[closer] = common[closer] / union[closer], i
+        hit = 100 * common >= percent * union
         hit[i] = False
         if side is not None:
             hit &= side != side[i]
@@ -166,33 +352,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, group:
     Linked are texts with 100 * intersection >= ``percent`` * union of their sets;
     ``n_links`` counts the rows a row is linked with.
     """
+    return _classes(docs, shingle, percent, group).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _classes(
+    docs: DataFrame, shingle: int, percent: int, group: int = GROUP, cell: int = CELL, most: int = HELD
+) -> DataFrame:
+    """What ``near_duplicates`` tells, with each row's digest and whether it stands for its component."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    index = materialize(index_rows(docs, shingle, percent), "index")
-    sets = index.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    sets = materialize(sets, "sets")
-    one = index.filter("n > 0").join(sets, "sid").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    lists = one.select("sid", F.explode("keys").alias("key"))
-    pivot = F.min("sid").over(W.partitionBy("key"))
-    pairs = lists.select("sid", pivot.alias("pivot")).filter("sid != pivot").distinct()
-    groups = materialize(components(pairs, "sid", "pivot"), "candidates")
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    index = materialize(index_rows(docs, shingle), "index")
+    # a row is named by its id and its text's digest: an id may be null or name several texts
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    sets = index.filter("n > 0").groupBy("sid").agg(
+        F.min(row).alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
+    sets = materialize(sets.select("sid", "copies", "n", "sketch", F.col("row.doc_id").alias("rep"), "row"), "sets")
+    found = materialize(lists(list_entries(docs, shingle, percent, 2 * partitions(spark)), cell, most), "lists")
+    groups = materialize(components(candidate_pairs(found, sets, percent), "sid", "root"), "candidates")
 
     held = groups.groupBy("root").agg(F.count("*").alias("held"))
     buckets = max(1, (groups.count() + group - 1) // group)
     parts = F.ceil(F.col("held") / group)
     part = F.pmod(F.xxhash64("sid"), parts)
     placed = groups.withColumnRenamed("node", "sid").join(held, "root").join(sets, "sid").select(
-        "sid", "rep", "copies", "root", part.alias("part"),
+        "sid", "rep", "copies", "root", part.alias("part"), F.col("row.digest").alias("of"),
         F.when(parts == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("place"),
         # a part of a cut group meets each part, itself included, in a task of their own
         F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"),
     )
     placed = placed.withColumn("task", F.struct("place", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
-    work = docs.join(placed, docs.doc_id.eqNullSafe(placed.rep)).select("task", "root", "sid", "copies", "part", "text")
+    match = (docs.digest == placed.of) & docs.doc_id.eqNullSafe(placed.rep)
+    work = docs.join(placed, match).select("task", "root", "sid", "copies", "part", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
         found = list(token_sets(list(rows["text"]), shingle))
-        own = [set_id(s) == sid for s, sid in zip(found, rows["sid"])]  # an id may also name other texts
+        own = [set_id(s) == sid for s, sid in zip(found, rows["sid"])]  # digests may be equal by chance
         rows["tokens"] = pd.Series(found, dtype=object)
         rows = rows[own].drop_duplicates("sid").sort_values("sid")
         out = []
@@ -213,20 +410,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, group:
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
     told = sets.join(roots, "sid", "left").join(counts, "sid", "left")
     told = told.withColumn("root", F.coalesce("root", "sid"))
-    names = told.groupBy("root").agg(F.min("rep").alias("component_id"))
+    names = told.groupBy("root").agg(F.min("row").alias("first"))
     told = materialize(told.join(names, "root").select(
-        "sid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "sid", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     ), "classes")
-    return index.select("doc_id", "sid", "n").join(told, "sid", "left").select(
+    some = F.col("n") > 0
+    return index.select("doc_id", "digest", "sid", "n").join(told, "sid", "left").select(
         "doc_id",
+        "digest",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        # is this row, or one of the same id and text, the first of its component
+        (~some | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest")))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of smallest id; rows without an id stay."""
-    found = near_duplicates(docs, shingle, percent)
-    others = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """One row of each component: the one of smallest id, a null id last, and of several texts of that id one.
+
+    Of repeated rows (same id, same text) one stays; texts without words all stay.
+    """
+    told = materialize(_classes(docs, shingle, percent), "told")
+    key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "digest"]
+    others = told.filter("NOT kept").select(*key).distinct()
+    twice = told.filter("kept AND n_shingles > 0").groupBy(*key).count().filter("count > 1").drop("count")
+    rows = docs.withColumns({
+        "_no_id": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest": F.xxhash64(F.col("text").cast("string"))
+    })
+
+    def among(keys: DataFrame):
+        return (rows._no_id == keys.no_id) & (rows._id == keys.id) & (rows._digest == keys.digest)
+
+    rows = rows.join(others, among(others), "left_anti")
+    single = rows.join(twice, among(twice), "left_anti")
+    repeated = rows.join(twice, among(twice), "left_semi").dropDuplicates(["_no_id", "_id", "_digest"])
+    return single.unionByName(repeated).select(*docs.columns)

@@ -59,6 +59,46 @@ def test_same_as_all_pairs(spark, size, percent, group):
     assert found == plain(rows, size, percent)
 
 
+@pytest.mark.parametrize("cell, most", [(2, 40), (5, 10_000), (4096, 40)])
+def test_hot_lists_stay_together(spark, cell, most):
+    rows = copies(random.Random(cell), 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = setjoin._classes(docs, 5, 80, 50, cell, most).select("doc_id", "n_shingles", "component_id", "n_links")
+    assert sorted(map(tuple, found.collect()), key=repr) == plain(rows, 5, 80)
+
+
+def test_sketches_leave_no_link_out():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for k in range(0, len(a) + 1, max(1, len(a) // 20)):
+            b = np.unique(np.append(a[k:], rng.integers(0, 1 << 63, k // 2, dtype=np.uint64)))
+            common = len(np.intersect1d(a, b))
+            bits = [np.frombuffer(setjoin.sketch(s), np.uint64) for s in (a, b)]
+            sizes = np.array([len(b)])
+            if len(b) and 100 * common >= 80 * (len(a) + len(b) - common):
+                assert setjoin.may_link(bits[1][None], sizes, bits[0], len(a), 80).all()
+
+
+def test_derived_answers_equal_plain_ones():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 500, 80)
+    sets = [np.unique(np.append(rng.permutation(base)[rng.integers(0, 40) :], rng.integers(0, 500, 15))).astype(np.uint64) for _ in range(60)]
+    for i, others in setjoin.linked(sets, 60):
+        told = [j for j in range(60) if j != i and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))]
+        assert others.tolist() == told
+
+
+def test_rows_without_ids_and_shared_ids(spark):
+    same, other = "a b c d e f g h", "one two three four five six"
+    rows = [(None, same)] * 300 + [(None, other), (4, other), (4, same), (4, same), (9, "x y z"), (9, "x y z"), (9, "quite another text"), (None, "")]
+    docs = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, id int, digest string")
+    kept = sorted(((r.doc_id, r.text) for r in setjoin.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(4, same), (4, other), (9, "x y z"), (9, "quite another text"), (None, "")], key=repr)
+    found = [tuple(r)[:3] for r in setjoin.near_duplicates(docs, 5, 80).collect()]
+    assert sorted(found, key=repr) == sorted((r[:3] for r in plain(rows, 5, 80)), key=repr)
+
+
 def test_documents_against_all_pairs(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     found = sorted((tuple(r)[:4] for r in QUERIES["op2_set_join"](spark, sf_dir).collect()), key=repr)
