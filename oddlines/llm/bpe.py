@@ -23,7 +23,8 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,7 +33,8 @@ WORD = regex.compile(
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-LONG_TEXT, SLICE, CACHE = 1 << 22, 1 << 16, 800_000
+LONG_TEXT, SLICE = 1 << 21, 1 << 16
+CACHE, PAIRS = 64 << 20, 500_000  # bytes of words with their ids, and pairs, that a task remembers
 NONE = np.iinfo(np.int32).max
 WIDE = 48  # longer words are merged one by one
 ALONE = 0xFFFF  # in a pair: no right neighbour
@@ -82,6 +84,7 @@ class Bpe:
         self.ends = np.array(ends, np.int64)
         self.known: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0  # bytes
         specials = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, specials))) if specials else None
 
@@ -210,9 +213,10 @@ class Bpe:
 
     def learn(self, words: set[str]) -> None:
         """Have the tokens of all these words in the cache, which is emptied first if it is full."""
-        if len(self.cache) > CACHE:
+        if self.cached > CACHE:
             self.cache.clear()
-        if len(self.known) > 2 * CACHE:
+            self.cached = 0
+        if len(self.known) > PAIRS:
             self.known.clear()
         names = list(words.difference(self.cache))
         if not names:
@@ -228,6 +232,7 @@ class Bpe:
         ids, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
         for name, fine, begin, end in zip(names, good, cuts[:-1], cuts[1:]):
             self.cache[name] = ids[begin:end] if fine else array("I", next(exact)).tobytes()
+            self.cached += 200 + 4 * len(name)  # with what an entry takes besides
 
     def parts(self, text: str) -> Iterator[tuple[list[str], bytes]]:
         """The text in order, as slices of words and the id of the special token behind each (or nothing)."""
@@ -280,41 +285,59 @@ def loaded(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = True, keep_decoded: bool = False) -> DataFrame:
     """Add ``n_tokens``, the SHA-256 of ids and of decoded text and, if asked for, ``ids`` and ``decoded``.
 
-    Columns of these names in ``docs`` are replaced.
+    Columns of these names in ``docs`` are replaced. Rows go out in parts of about ``LONG_TEXT`` characters.
     """
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    if keep_ids:
-        made |= {"ids": "array<int>", "decoded": "string"}
+    made |= {"ids": "array<int>"} if keep_ids else {}
+    made |= {"decoded": "string"} if keep_decoded else {}
     kept = [c for c in docs.columns if c not in made]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     schema += "".join(f", {name} {kind}" for name, kind in made.items())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(bpe: Bpe, texts: list[str]) -> list[pa.Array]:
+        counts, hashes, text_hashes, ids, plains = [], [], [], [], []
+        for parts in bpe.encode(texts):
+            n, ids_hash, text_hash, plain = 0, hashlib.sha256(), hashlib.sha256(), []
+            for part in parts:
+                n += len(part) // 4
+                ids_hash.update(part)
+                decoded = bpe.decode(part)
+                text_hash.update(decoded)
+                if keep_ids:
+                    ids.append(part)
+                if keep_decoded:
+                    plain.append(decoded)
+            counts.append(n)
+            hashes.append(ids_hash.hexdigest())
+            text_hashes.append(text_hash.hexdigest())
+            plains.append(b"".join(plain).decode("utf-8", "replace"))
+        columns = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(text_hashes, pa.string())]
+        if keep_ids:
+            ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+        if keep_decoded:
+            columns.append(pa.array(plains, pa.string()))
+        return columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            rows: dict[str, list] = {name: [] for name in made}
-            for encoded in bpe.encode([value or "" for value in batch[text]]):
-                n, ids_hash, text_hash, ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), [], []
-                for part in encoded:
-                    plain = bpe.decode(part)
-                    n += len(part) // 4
-                    ids_hash.update(part)
-                    text_hash.update(plain)
-                    if keep_ids:
-                        ids.append(part)
-                        decoded.append(plain)
-                rows["n_tokens"].append(n)
-                rows["ids_sha256"].append(ids_hash.hexdigest())
-                rows["decoded_sha256"].append(text_hash.hexdigest())
-                if keep_ids:
-                    rows["ids"].append(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                    rows["decoded"].append(b"".join(decoded).decode("utf-8", "replace"))
-            yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
-
-    return docs.mapInPandas(run, schema)
+            source = batch.schema.names.index(text)
+            places = [i for i, name in enumerate(batch.schema.names) if name in kept]
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(source)), 0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                before = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, before + LONG_TEXT, "right")))
+                part = batch.slice(begin, end - begin)
+                begin = end
+                new = encoded(bpe, [value or "" for value in part.column(source).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], [*kept, *made])
+
+    return docs.mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_rows_nulls_and_clashing_columns(spark):
     out = token_digests(spark.createDataFrame(rows, "doc_id long, text string, ids int"), PATH).collect()
     empty = hashlib.sha256().hexdigest()
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256 == empty) for r in out) == [(0, 2, False), (1, 0, True), (2, 0, True), (2, 0, True)]
-    whole = encode_texts(spark.createDataFrame(rows, "doc_id long, text string, ids int"), PATH)
+    whole = encode_texts(spark.createDataFrame(rows, "doc_id long, text string, ids int"), PATH, keep_decoded=True)
     assert [f.name for f in whole.schema] == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     assert {r.decoded for r in whole.collect()} == {"", "the cat"}
     assert token_digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -54,5 +54,5 @@ def test_stages_against_plain_versions(spark, sf_dir):
 
 def test_registry():
     names = entry.queries()
-    assert sum(n.startswith("op") and n.split("_")[0][2:].isdigit() for n in names) == 10
+    assert sum(n.startswith("op") and n.split("_")[0][2:].isdigit() for n in names) == 13
     assert set(entry.oracle_sql()) <= set(names) and "op4_chat_formatting" in entry.oracle_sql()
