@@ -38,14 +38,20 @@ SHARD = 2048  # texts in one index
 NEIGHBOURS = 32  # taken from the index at a time
 K1, B = 1.2, 0.75  # the usual constants of BM25
 CACHE = 96 << 20  # bytes of words with their ids that a task remembers
-PORTION = 1 << 20
-_BREAK = re.compile(rb"[ \t-\r]")
-# Fixed value: how the word tokenizer takes plain lower-case text apart.
-_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s\x80-\xffa-z0-9]+")
+PORTION, ASKED = 1 << 20, 1 << 15  # bytes of text, and new words, that are taken at a time
+_SPACES = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
+# Signs for which lower case is all there is to normalise (ASCII and composed Latin letters), and
+# how the word tokenizer takes words of such signs apart.
+_OTHER = "[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]"
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ a-zß-öø-ſ0-9]+")
+_WORD_END = "</w>"
 
 
-class WordIds(dict):
-    """Ids of words (runs without white space) as little-endian bytes, found by the tokenizer once."""
+class WordIds:
+    """Ids of texts by the tokenizers library, which is asked once for each piece (a word, run of signs, digit).
+
+    Words with other signs than plain ones, or with a special token, are not taken apart here.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,43 +62,82 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[bytes, bytes] = {}
-        self.bytes = 0
-
-    def encoded(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if word.isascii() and not any(s in word for s in self.special):
-            out = []
-            for piece in _PIECE.findall(word.lower()):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = self.pieces[piece] = self.encoded(piece)
-                    self.bytes += len(piece) + len(ids) + 150
-                out.append(ids)
-            ids = b"".join(out)
-        else:
-            ids = self.encoded(word)
-        self[word] = ids
-        self.bytes += len(word) + len(ids) + 150
-        return ids
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Ids of a whole text, a portion of its words at a time."""
-        out, begin = [], 0
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = next(iter(self.special.items()))
+        self.odd = re.compile("|".join([_OTHER, *map(re.escape, self.special)]))
+        self.ends = np.zeros(self.size, bool)  # tokens that end a word
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
+        self.cache: dict[str, bytes] = {}
+        self.cached = 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _cut(self, names: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        size, raw = self.kind.itemsize, ids.tobytes()
+        starts = [0, *(size * (ends[:-1] + gap)).tolist()]
+        self.cache.update((w, raw[a:b]) for w, a, b in zip(names, starts, (size * ends).tolist(), strict=True))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Have the ids of all these pieces in the cache, which is emptied first if it is full."""
+        if self.cached > CACHE:
+            self.cache.clear()
+            self.cached = 0
+        new = list(pieces.difference(self.cache))
+        self.cached += sum(map(len, new)) + 160 * len(new)
+        for begin in range(0, len(new), ASKED):
+            plain, odd = [], []
+            for piece in new[begin : begin + ASKED]:
+                (odd if self.odd.search(piece) else plain).append(piece)
+            if plain:  # each is one word to the library, and its last token says so
+                ids = self._ids(" ".join(plain))
+                self._cut(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+            alone = [w for w in odd if any(s in w for s in self.special)]
+            self.cache.update((w, self._ids(w).tobytes()) for w in alone)
+            odd = list(set(odd).difference(alone))
+            if odd:  # the library tells what stands on either side of a special token apart
+                ids = self._ids(self.mark.join(odd))
+                self._cut(odd, ids, np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
+
+    def pieces(self, raw: bytes) -> list[str]:
+        """The pieces of a text in order."""
+        text = raw.translate(_SPACES).decode("utf-8", "replace")
+        out, at = [], 0
+        while found := self.odd.search(text, at):
+            begin = max(at, text.rfind(" ", at, found.start()) + 1)
+            end = text.find(" ", found.end())
+            end = len(text) if end < 0 else end
+            out += _PIECE.findall(text[at:begin].lower())
+            out.append(text[begin:end])
+            at = end
+        return out + _PIECE.findall(text[at:].lower()) if at else _PIECE.findall(text.lower())
+
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of every text; short texts are learnt together, a long one by portions of its words."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size + len(texts[end]) <= PORTION):
+                size += len(texts[end])
+                end += 1
+            if size <= PORTION:
+                split = list(map(self.pieces, texts[begin:end]))
+                self.learn(set().union(*split))
+                for own in split:
+                    yield np.frombuffer(b"".join(map(self.cache.__getitem__, own)), self.kind)
+            else:
+                yield np.concatenate(list(self._portions(texts[begin].translate(_SPACES))))
+            begin = end
+
+    def _portions(self, text: bytes) -> Iterator[np.ndarray]:
+        begin = 0
         while begin < len(text):
-            cut = _BREAK.search(text, begin + PORTION)
-            end = cut.start() if cut else len(text)
-            out.append(b"".join(map(self.__getitem__, text[begin:end].split())))
+            end = text.find(b" ", begin + PORTION)
+            end = len(text) if end < 0 else end
+            own = self.pieces(text[begin:end])
+            self.learn(set(own))
+            yield np.frombuffer(b"".join(map(self.cache.__getitem__, own)), self.kind)
             begin = end
-            if self.bytes > CACHE:
-                self.clear()
-                self.pieces.clear()
-                self.bytes = 0
-        return np.frombuffer(b"".join(out), self.kind)
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -149,8 +194,9 @@ def token_table(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
         for source in batches:
             arrow_id = source.column("doc_id").type
             full, rest, ids, numbers, waiting = _Pieces(), _Pieces(), [], [], 0
-            for doc_id, text in zip(source.column("doc_id").to_pylist(), source.column("text")):
-                found = np.append(words.of(text.as_py() or b""), np.array([end], words.kind))
+            raw = [t or b"" for t in source.column("text").to_pylist()]
+            for doc_id, found in zip(source.column("doc_id").to_pylist(), words.of(raw)):
+                found = np.append(found, np.array([end], words.kind))
                 n, start = len(found), 0
                 held[np.unique(found)] += 1
                 texts, tokens = texts + 1, tokens + n

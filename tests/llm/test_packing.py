@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -62,10 +63,17 @@ def texts(seed, n):
         yield i, " ".join(rng.choice(topics[i % 6]) for _ in range(rng.randint(1, 60)))
 
 
-@pytest.mark.parametrize("text", [ODD, ODD.lower(), ODD[::-1], "a" * 3000, "", " \t ", "x" + "́" * 40])
-def test_ids_equal_the_library(text):
-    found = packing.loaded(PATH).of(text.encode())
-    assert found.tolist() == reference([text])[0][:-1].tolist()
+def test_ids_equal_the_library():
+    texts = [ODD, ODD.lower(), ODD[::-1], "a" * 3000, "", " \t ", "x" + "́" * 40, "́y", "long wörd " * 200_000, "\ufeff \x85 .", "tail"]
+    found = packing.WordIds(PATH).of([t.encode() for t in texts])
+    for ids, told in zip(found, reference(texts), strict=True):
+        assert ids.tolist() == told[:-1].tolist()
+
+
+def test_ids_of_documents_equal_the_library(sf_dir):
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet").text.tolist()
+    for ids, told in zip(packing.WordIds(PATH).of([(t or "").encode() for t in texts]), reference(texts), strict=True):
+        assert ids.tolist() == told[:-1].tolist()
 
 
 def test_every_id_lies_in_one_piece(spark):
