@@ -195,39 +195,47 @@ def root_stripes(docs: DataFrame, least: int) -> DataFrame:
     return merged.filter((F.col("f") >= least) | F.col("word").isNull())
 
 
-_STRIPES = "lang string, prefix array<long>, part int, next array<long>, counts array<long>"
+_STRIPES = "lang string, prefix binary, entries binary"
+_ENTRY = np.dtype([("next", "<u8"), ("count", "<u4")])
+
+
+def _binary(raw: bytes, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
 
 
 def _stripes(lang: str, words: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    """Stripes of the given phrases, each part of one a row."""
-    part = (words[-1] % np.uint64(PARTS)).astype(np.int32)
+    """Stripes of the given phrases, each part of one a row; only what follows a single word is cut into parts."""
+    size = len(words) - 1
+    part = words[-1] % np.uint64(PARTS if size == 1 else 1)
     order = np.lexsort([words[-1], part, *words[-2::-1]])
-    keys = np.stack([*(w[order] for w in words[:-1]), part[order].astype(np.uint64)], axis=1)
+    keys = np.stack([*(w[order] for w in words[:-1]), part[order]], axis=1)
     starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-    size, ends = len(words) - 1, pa.array(np.append(starts, len(order)).astype(np.int32))
-    prefixes = pa.array(np.ascontiguousarray(keys[starts, :-1]).view(np.int64).ravel())
+    entries = np.empty(len(order), _ENTRY)
+    entries["next"], entries["count"] = words[-1][order], counts[order]
+    # a prefix is its words' hashes and, last, the part in one byte
+    prefixes = np.ascontiguousarray(keys[starts]).view(np.uint8).reshape(len(starts), -1)[:, : 8 * size + 1]
     columns = [
         pa.array([lang] * len(starts), pa.string()),
-        pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * size), prefixes),
-        pa.array(part[order][starts]),
-        pa.ListArray.from_arrays(ends, pa.array(words[-1][order].view(np.int64))),
-        pa.ListArray.from_arrays(ends, pa.array(counts[order].astype(np.int64))),
+        _binary(prefixes.tobytes(), np.arange(len(starts) + 1) * (8 * size + 1)),
+        _binary(entries.tobytes(), np.append(starts, len(order)) * _ENTRY.itemsize),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "part", "next", "counts"])
+    return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "entries"])
 
 
 def _phrases(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, words of each phrase as a row, counts) of a batch of stripes, by language and length."""
-    sizes = pc.list_value_length(batch.column("prefix")).to_numpy()
+    sizes = pc.binary_length(batch.column("prefix")).to_numpy()
     langs = batch.column("lang").dictionary_encode()
     which = langs.indices.to_numpy()
     for kind in np.unique(which.astype(np.int64) << 8 | sizes).tolist():
         rows = batch.filter(pa.array((which == kind >> 8) & (sizes == (kind & 255))))
-        prefix = rows.column("prefix").flatten().to_numpy().reshape(-1, kind & 255)
-        following = rows.column("next").flatten().to_numpy()
-        held = pc.list_value_length(rows.column("next")).to_numpy()
+        raw = np.frombuffer(b"".join(rows.column("prefix").to_pylist()), np.uint8).reshape(-1, kind & 255)
+        prefix = np.ascontiguousarray(raw[:, :-1]).view(np.int64)
+        entries = np.frombuffer(b"".join(rows.column("entries").to_pylist()), _ENTRY)
+        held = pc.binary_length(rows.column("entries")).to_numpy() // _ENTRY.itemsize
+        following = entries["next"].astype(np.uint64).view(np.int64)
         words = np.concatenate([np.repeat(prefix, held, axis=0), following[:, None]], axis=1)
-        yield langs.dictionary[kind >> 8].as_py(), words, rows.column("counts").flatten().to_numpy()
+        yield langs.dictionary[kind >> 8].as_py(), words, entries["count"].astype(np.int64)
 
 
 def _marked(filter: Filter, lang: str, codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -322,7 +330,7 @@ def merge_stripes(spark: SparkSession, stripes: DataFrame, least: int) -> DataFr
             ]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "key", "f"])
 
-    dealt = stripes.repartition(partitions(spark), "lang", "prefix", "part")
+    dealt = stripes.repartition(partitions(spark), "lang", "prefix")
     return dealt.mapInArrow(run, "lang string, words array<long>, key long, f long")
 
 
