@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlines.llm.common import kth_largest, partitions
-from oddlines.llm.words import RUNS, distinct, hashed_words, mix, portions
+from oddlines.llm.words import RUNS, arrow_portions, distinct, hashed_words, mix
 from oddlines.storage import materialize
 
 TABLE = 1 << 19  # buckets of each of two hash tables
@@ -77,19 +79,21 @@ def count_models(docs: DataFrame, target: DataFrame, text: str = "text") -> Data
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text"))
     rows = rows.join(F.broadcast(target.withColumn("wanted", F.lit(1))), "doc_id", "left")  # TARGET_SAMPLE ids at most
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task counts fewer texts than fit 32 bits
         raw, wanted = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
         for batch in batches:
-            for part, into in ((batch["text"], raw), (batch["text"][batch["wanted"] == 1], wanted)):
-                for texts in portions(list(part)):
+            rows = batch.filter(pc.equal(batch.column("wanted"), 1))
+            for part, into in ((batch.column("text"), raw), (rows.column("text"), wanted)):
+                for _, texts in arrow_portions(part):
                     one, two, _ = buckets(texts)
                     into += np.bincount(np.concatenate([one, two]), minlength=BUCKETS).astype(np.int32)
         held = np.flatnonzero(raw.reshape(-1, CHUNK).any(axis=1))
         for some in np.array_split(held, max(1, len(held) // 64)):
-            rows = {"raw": list(raw.reshape(-1, CHUNK)[some]), "target": list(wanted.reshape(-1, CHUNK)[some])}
             if len(some):
-                yield pd.DataFrame({"chunk": some.astype(np.int32), **rows})
+                ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * CHUNK)
+                flat = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1, CHUNK)[some].ravel())) for x in (raw, wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *flat], ["chunk", "raw", "target"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -102,7 +106,7 @@ def count_models(docs: DataFrame, target: DataFrame, text: str = "text") -> Data
     spark = docs.sparkSession
     # each task sends all buckets: their number follows the cores, not the files
     rows = rows.select("text", "wanted").coalesce(4 * spark.sparkContext.defaultParallelism)
-    counted = rows.mapInPandas(count, "chunk int, raw array<int>, target array<int>")
+    counted = rows.mapInArrow(count, "chunk int, raw array<int>, target array<int>")
     counted = counted.repartition(partitions(spark), "chunk")
     return counted.mapInPandas(add, "chunk int, raw array<long>, target array<long>")
 
@@ -144,8 +148,6 @@ def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarra
 def log_weights(texts: list[str | None], model: np.ndarray | None) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    if len(parts := list(portions(texts))) > 1:
-        return np.concatenate([log_weights(part, model) for part in parts])
     one, two, owner = buckets(texts)
     ratio = np.maximum(model[one], model[two]).astype(np.float64)  # what only one table says is a collision there
     return np.round(np.bincount(owner, ratio, len(texts)), 6)
@@ -156,9 +158,10 @@ def weighted(docs: DataFrame, model: np.ndarray | None, seed: int = 0, text: str
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS single floats
 
-    @F.pandas_udf("double")
-    def weight(texts: pd.Series) -> pd.Series:
-        return pd.Series(log_weights(list(texts), shared.value))
+    @F.arrow_udf("double")
+    def weight(texts: pa.Array) -> pa.Array:
+        parts = [log_weights(part, shared.value) for _, part in arrow_portions(texts)]
+        return pa.array(np.concatenate([*parts, np.zeros(0)]))
 
     noise: Column = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text))
     uniform = (F.shiftrightunsigned(noise, 12).cast("double") + 0.5) / float(1 << 52)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from oddlines.llm.common import components, partitions
-from oddlines.llm.words import hashed_words, mix, portions, shingle_sets
+from oddlines.llm.words import arrow_portions, hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
 GROUP = 2000  # sets that one task compares with each other
@@ -95,6 +95,12 @@ def token_sets(texts: list[str | None], shingle: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(words, bounds, shingle)
 
 
+def _token_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
+    for _, texts in arrow_portions(batch.column("text")):
+        words, bounds = hashed_words(texts)
+        yield from shingle_sets(words, bounds, shingle)
+
+
 def set_id(tokens: np.ndarray) -> int:
     total = mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
@@ -111,7 +117,7 @@ def index_rows(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(set_id(s), len(s), sketch(s)) for s in token_sets(batch.column("text").to_pylist(), shingle)]
+            sets = [(set_id(s), len(s), sketch(s)) for s in _token_sets(batch, shingle)]
             sid, n, bits = zip(*sets) if sets else ((), (), ())
             columns = [batch.column("doc_id"), batch.column("digest")]
             columns += [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())]
@@ -140,7 +146,7 @@ def list_entries(docs: DataFrame, shingle: int, percent: int, buckets: int) -> D
         sids: dict[int, None] = {}
         held = 0
         for batch in batches:
-            for tokens in token_sets(batch.column("text").to_pylist(), shingle):
+            for tokens in _token_sets(batch, shingle):
                 sid = set_id(tokens)
                 if not len(tokens) or sid in sids:
                     continue

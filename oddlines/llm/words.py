@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE = 1 << 21  # bytes hashed at a time; words are never cut
+PIECE = 1 << 20  # bytes hashed at a time; words are never cut
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -82,7 +84,7 @@ def _pieces(buf: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def portions(texts: Sequence[str | None], characters: int = 1 << 21) -> Iterator[Sequence[str | None]]:
+def portions(texts: Sequence[str | None], characters: int = PIECE) -> Iterator[Sequence[str | None]]:
     """The texts in order, in parts of about so many characters (a longer text is a part of its own)."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
@@ -95,6 +97,17 @@ def portions(texts: Sequence[str | None], characters: int = 1 << 21) -> Iterator
         yield texts[begin:]
 
 
+def arrow_portions(texts: pa.Array, characters: int = PIECE) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of an Arrow column in order, in parts of about so many characters, with each part's first row."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + characters, "right")))
+        yield begin, texts.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
 def hashed_words(
     texts: Sequence[str | None], classes: np.ndarray = SPACES, lower: bool = True, stem: int = 0
 ) -> tuple[np.ndarray, ...]:
