@@ -7,6 +7,7 @@ from oddlines.plans import (  # noqa: F401  (importing registers the queries)
     decision_queries,
     event_queries,
     line_queries,
+    restart_queries,
     stream_queries,
     text_queries,
 )

@@ -8,6 +8,7 @@ from oddlines.operators import features
 from oddlines.plans import detect, tables as t
 from oddlines.plans.decision_queries import document_rows
 from oddlines.plans.registry import query
+from oddlines.plans.restart_queries import TEMPLATES
 from oddlines.storage import new_path
 from oddlines.streaming import jobs
 
@@ -73,7 +74,7 @@ def stream_scores(spark, sf_dir):
     )
 
 
-@query("stream_templates")
+@query("stream_templates", TEMPLATES)
 def stream_templates(spark, sf_dir):
     lines = _events(spark, sf_dir).select(
         F.col("event_type").alias("file_path"), F.col("event_id").alias("seq"),

@@ -6,9 +6,12 @@ shared by all executors and survives the loss of any of them.
 
 from __future__ import annotations
 
+import json
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +55,73 @@ def delete(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is not below the work folder")
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+class CommitLog:
+    """Numbered entries in a shared folder: each is written whole, and each number is given out once.
+
+    An entry is written aside and then renamed to its number, which fails if
+    another writer had it first. Entries never change, so each is read once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._known: dict[int, dict] = {}
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def entries(self) -> list[dict]:
+        """All entries in order."""
+        root = self._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self._conf)
+        if not fs.exists(root):
+            return []
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.isdigit() and int(name) not in self._known:
+                source = fs.open(status.getPath())
+                try:
+                    self._known[int(name)] = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+                finally:
+                    source.close()
+        return [self._known[n] for n in sorted(self._known)]
+
+    def add(self, entry: dict) -> bool:
+        """Add an entry behind those that ``entries`` last gave; False if another writer added one meanwhile."""
+        number = max(self._known, default=-1) + 1
+        aside, final = self._path(f".{uuid.uuid4().hex}"), self._path(f"{number:012d}")
+        fs = aside.getFileSystem(self._conf)
+        out = fs.create(aside)
+        try:
+            out.write(bytearray(json.dumps(entry).encode()))
+        finally:
+            out.close()
+        if fs.getScheme() == "file":  # its rename looks before it leaps; a link is made or not
+            try:
+                os.link(aside.toUri().getPath(), final.toUri().getPath())
+                won = True
+            except FileExistsError:
+                won = False
+            fs.delete(aside, False)
+        else:
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self._conf)
+            none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            try:
+                context.rename(aside, final, none)
+                won = True
+            except Py4JJavaError as error:
+                if not error.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                    raise
+                fs.delete(aside, False)
+                won = False
+        if won:
+            self._known[number] = entry
+        return won
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the table at ``path`` was written to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from oddlines.operators import reports, templates
 from oddlines.plans.detect import Model, detect_prepared, score_with_model
+from oddlines.sources.store import EventStore
 from oddlines.storage import new_path
 
 REFRESH = "120 seconds"
@@ -25,7 +26,7 @@ KEPT_ROWS = 500
 def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """New log files of a folder as lines.
 
-    A file is read once: the collector must roll files rather than grow them.
+    A file is read once; ``sources.growing.follow_lines`` follows files that grow.
     """
     reader = spark.readStream.schema("value string")
     if max_files:
@@ -57,6 +58,18 @@ def append_records(stream: DataFrame, out: str, checkpoint: str, every: str | No
     return start(writer.outputMode("append"), every)
 
 
+def append_numbered(
+    stream: DataFrame, store: EventStore, order: list[str], checkpoint: str, label: str, every: str | None = FLUSH
+) -> StreamingQuery:
+    """Append events with ids to a store, each batch once even if it runs again; ``label`` names this stream there."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            store.append(batch, order, f"{label}-{batch_id}")
+
+    return _each_batch(stream, add, checkpoint, every)
+
+
 def _each_batch(
     stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None, mode: str = "append"
 ) -> StreamingQuery:
@@ -173,6 +186,18 @@ def mine_stream(
     return _each_batch(stream, mine, checkpoint, every)
 
 
+def run_parts(spark: SparkSession, parts: list[DataFrame], begin: Callable[[str, str, str], StreamingQuery], label: str) -> str:
+    """Run a job from its last stop once for each part, which is put into its input folder before; returns the output folder.
+
+    ``begin`` is given the input, output and progress folders.
+    """
+    source, out, checkpoint = (new_path(spark, f"{label}{kind}") for kind in ("-parts", "", "-progress"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        begin(source, out, checkpoint).awaitTermination()
+    return out
+
+
 def run_once(spark: SparkSession, begin: Callable[[str, str], StreamingQuery], label: str) -> str:
     """Run a job over what is there, in folders of its own; returns the output folder."""
     out, checkpoint = new_path(spark, label), new_path(spark, f"{label}-progress")
