@@ -28,13 +28,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from oddlines.llm.common import bound_batches
+
 # Fixed value: how byte-level BPE splits text into words before merging.
 WORD = regex.compile(
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 LONG_TEXT, SLICE = 1 << 21, 1 << 16
-CACHE, PAIRS = 64 << 20, 500_000  # bytes of words with their ids, and pairs, that a task remembers
+CACHE, PAIRS = 96 << 20, 800_000  # bytes of words with their ids, and pairs, that a task remembers
 NONE = np.iinfo(np.int32).max
 WIDE = 48  # longer words are merged one by one
 ALONE = 0xFFFF  # in a pair: no right neighbour
@@ -337,6 +339,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_ids: bool
                 new = encoded(bpe, [value or "" for value in part.column(source).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], [*kept, *made])
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -8,12 +8,21 @@ from oddlines.storage import materialize
 
 BINS = 4096
 FEW = 20_000  # values of one bin that are sorted outright
+ROWS_AT_ONCE = 2000  # rows that go to a Python worker at once: of long texts the usual 10,000 are too many
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no more than ``ROWS_AT_ONCE`` rows go to a Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ROWS_AT_ONCE:
+        spark.conf.set(name, ROWS_AT_ONCE)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from oddlines.llm.common import partitions
+from oddlines.llm.common import bound_batches, partitions
 from oddlines.storage import materialize
 
 SHARD = 2048  # texts in one index
@@ -335,6 +335,7 @@ class _Packer:
 def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, shard: int = SHARD) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = _schema(id_type)

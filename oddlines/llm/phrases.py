@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from oddlines.llm.common import partitions
+from oddlines.llm.common import bound_batches, partitions
 from oddlines.llm.words import mix
 from oddlines.storage import materialize
 
@@ -337,6 +337,7 @@ def merge_stripes(spark: SparkSession, stripes: DataFrame, least: int) -> DataFr
 def frequent_phrases(docs: DataFrame, least: int = 30, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Frequent words (as ``root_stripes`` gives them) and frequent phrases of two to four words."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.col("text").cast("string").cast("binary").alias("text"),

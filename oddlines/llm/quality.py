@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from oddlines.llm.common import kth_largest, partitions
+from oddlines.llm.common import bound_batches, kth_largest, partitions
 from oddlines.llm.words import RUNS, arrow_portions, distinct, hashed_words, mix
 from oddlines.storage import materialize
 
@@ -119,6 +119,7 @@ def contrast(wanted: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.n
 
 def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarray | None:
     """The log ratio of each bucket (0 where it says nothing); ``BUCKETS`` single floats. None without target rows."""
+    bound_batches(docs.sparkSession)
     ids = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     sample = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_SAMPLE), "target")
     counts = materialize(count_models(docs, sample, text), "counts")

@@ -39,13 +39,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from oddlines.llm.common import components, partitions
+from oddlines.llm.common import bound_batches, components, partitions
 from oddlines.llm.words import arrow_portions, hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
 GROUP = 2000  # sets that one task compares with each other
 SKETCH, CELL = 1024, 4096  # bits of a sketch, sets of a list that are told apart by sketches
-ENTRIES, HELD = 1 << 20, 1 << 22  # list entries that a task sends at a time and that it holds of a bucket
+ENTRIES, HELD = 1 << 18, 1 << 21  # list entries that a task sends at a time and that it holds of a bucket
 SPARE = 3  # blocks beyond those that may differ
 _PREFIX = 0x94D049BB133111EB
 
@@ -366,6 +366,7 @@ def _classes(
 ) -> DataFrame:
     """What ``near_duplicates`` tells, with each row's digest and whether it stands for its component."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("digest", F.xxhash64("text"))
     index = materialize(index_rows(docs, shingle), "index")
