@@ -13,10 +13,12 @@ updates the common prefixes of neighbours. Where two neighbours share
 are numpy steps over many anchors at once; pieces come in sequentially from a
 shuffle sorted by anchor, and what a task holds is bounded by ``ROWS`` pieces.
 
-Only anchors that occur twice have pieces, equal pieces are one with a weight,
-and texts that are equal are one text. An anchor that occurs over ``HOT`` times, in many texts or in
-few, would be too large for one task: its strings are counted one by one under a 128-bit hash instead,
-which is exact for any number of them.
+Only anchors that occur twice have pieces, equal pieces are one with a weight under a
+128-bit hash, and texts that are equal are one text. Where pieces occur is looked up last, when it is known which of
+their strings are repeated. An anchor with over ``HOT`` different pieces would be too large for one task: its pieces are
+cut in two by how far a string starts before the anchor, and each half goes under what all its strings
+have in common around it. Equal strings stay together, and parts go through the same rounds. Parts still
+too large are cut again; at the eighth cut a part is one string.
 
 Null texts count as empty; shorter texts than ``length`` lose nothing; matches
 never cross texts. Repeated rows are copies and so go whole if long enough.
@@ -28,12 +30,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from oddlines.llm.common import partitions
+from oddlines.llm.common import bound_batches, partitions
 from oddlines.llm.words import span_hashes
 from oddlines.storage import materialize, new_path
 
@@ -119,56 +122,54 @@ def anchors(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, f"{_TEXT}, key long, c long")
 
 
-def cut_pieces(texts: DataFrame) -> DataFrame:
-    """Pieces with the wanted anchors (``keys``), equal ones of up to ``NOTES`` neighbouring occurrences of a batch as one row.
+def _digest(offset: int, content: bytes) -> tuple[int, int]:
+    raw = hashlib.blake2b(offset.to_bytes(2, "little") + content, digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
-    ``offset`` is how far the first string starts before the anchor, ``content``
-    the bytes of all its strings, ``owners`` where it occurs. Strings of ``hot``
-    anchors come one by one, under two hashes and without content.
+
+def cut_pieces(texts: DataFrame, where: bool) -> DataFrame:
+    """Pieces with the wanted anchors (``keys``) under key and digest.
+
+    With ``where`` (t, n, s) of their occurrences, else what they hold: ``offset``, how far the
+    first string starts before the anchor, ``content``, the bytes of all strings, and
+    ``weight``, how often they occur; equal ones of up to ``NOTES`` neighbours are one row.
     """
-    schema = f"key long, other long, offset int, content binary, weight long, owners array<struct<{_TEXT.replace(' ', ':').replace(',:', ',')},s:int>>"
+    schema = "key long, one long, two long, " + (f"{_TEXT}, s int" if where else "offset int, content binary, weight long")
 
     def told(found: dict[tuple, list]) -> Iterator[pd.DataFrame]:
-        names = list(found)
-        for begin in range(0, len(names), 4000):
-            part = names[begin : begin + 4000]
-            yield pd.DataFrame(
-                {
-                    "key": [x[0] for x in part],
-                    "other": [x[1] for x in part],
-                    "offset": [x[2] for x in part],
-                    "content": [x[3] for x in part],
-                    "weight": [found[x][0] for x in part],
-                    "owners": [found[x][1] for x in part],
-                }
-            )
+        rows = [(*name, *held) for name, held in found.items()]
+        for begin in range(0, len(rows), 4000):
+            yield pd.DataFrame(rows[begin : begin + 4000], columns=["key", "one", "two", "offset", "content", "weight"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = _raw(batch["text"])
             wanted = [np.sort(np.asarray(k, np.int64)) for k in batch["keys"]]
-            hot = [set(map(int, k)) for k in batch["hot"]]
             ids = list(zip(batch["t"].tolist(), batch["n"].tolist()))
             copies = batch["copies"].tolist()
             found: dict[tuple, list] = {}
-            notes = 0
+            places: list[tuple] = []
             for owner, first, last, place, key in pieces(raw):
                 for i in np.unique(owner):
                     rows = np.flatnonzero(owner == i)
                     pick = rows[_among(key[rows], wanted[i])]
                     for f, l, p, k in zip(first[pick].tolist(), last[pick].tolist(), place[pick].tolist(), key[pick].tolist()):
-                        if k in hot[i]:
-                            for s in range(f, l + 1):
-                                digest = hashlib.blake2b(raw[i][s : s + LENGTH], digest_size=16).digest()
-                                name = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), -1, None)
-                                _note(found, name, ids[i], s, copies[i])
-                            notes += l - f
+                        content = raw[i][f : l + LENGTH]
+                        name = (k, *_digest(p - f, content))
+                        if where:
+                            places.append((*name, *ids[i], f))
+                        elif name in found:
+                            found[name][2] += copies[i]
                         else:
-                            _note(found, (k, 0, p - f, raw[i][f : l + LENGTH]), ids[i], f, copies[i])
-                        notes += 1
-                        if notes >= NOTES:
-                            yield from told(found)
-                            found, notes = {}, 0
+                            found[name] = [p - f, content, copies[i]]
+                if len(places) >= NOTES:
+                    yield pd.DataFrame(places, columns=["key", "one", "two", "t", "n", "s"])
+                    places = []
+                if len(found) >= NOTES // 16:
+                    yield from told(found)
+                    found = {}
+            if places:
+                yield pd.DataFrame(places, columns=["key", "one", "two", "t", "n", "s"])
             yield from told(found)
 
     return texts.mapInPandas(run, schema)
@@ -181,12 +182,6 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _note(found: dict, name: tuple, text: tuple[int, int], start: int, copies: int) -> None:
-    held = found.setdefault(name, [0, []])
-    held[0] += copies
-    held[1].append({"t": text[0], "n": text[1], "s": start})
-
-
 def repeated(groups: np.ndarray, offsets: np.ndarray, contents: list[bytes], weights: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray]]:
     """(piece, its starts whose string is repeated) for pieces sorted by group.
 
@@ -241,8 +236,8 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(values[np.append(0, cuts + 1)].tolist(), values[np.append(cuts, len(values) - 1)].tolist())
 
 
-def repeats_of(cut: DataFrame) -> DataFrame:
-    """(t, n, low, high): starts of repeated strings, ``high`` included, from pieces with content."""
+def repeats_of(distinct: DataFrame) -> DataFrame:
+    """(key, one, two, low, high): which starts of each piece are repeated, ``high`` included; each piece is one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -262,58 +257,111 @@ def repeats_of(cut: DataFrame) -> DataFrame:
     def judge(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(rows):
             return
-        merged: dict[tuple, list] = {}
-        for key, offset, content, weight, owners in zip(rows["key"], rows["offset"], rows["content"], rows["weight"], rows["owners"]):
-            held = merged.setdefault((key, offset, bytes(content)), [0, []])
-            held[0] += weight
-            held[1].extend(owners)
-        names = sorted(merged, key=lambda x: x[0])
-        keys = np.array([x[0] for x in names])
+        keys, weights = rows["key"].to_numpy(), rows["weight"].to_numpy()
+        contents = [bytes(c) for c in rows["content"]]
         alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
         out: list[tuple] = []
 
-        def note(name: tuple, starts: np.ndarray) -> None:
-            for low, high in _runs(starts):
-                out.extend((o["t"], o["n"], o["s"] + low, o["s"] + high) for o in merged[name][1])
+        def note(i: int, starts: np.ndarray) -> None:
+            out.extend((keys[i], rows["one"].iat[i], rows["two"].iat[i], low, high) for low, high in _runs(starts))
 
-        for i in np.flatnonzero(alone).tolist():
-            if merged[names[i]][0] > 1:  # the only piece of its anchor, but more than once
-                note(names[i], np.arange(len(names[i][2]) - LENGTH + 1))
+        for i in np.flatnonzero(alone & (weights > 1)).tolist():  # the only piece of its anchor, but more than once
+            note(i, np.arange(len(contents[i]) - LENGTH + 1))
         several = np.flatnonzero(~alone)
         if len(several):
-            some = [names[i] for i in several.tolist()]
-            weights = np.array([merged[x][0] for x in some])
-            for i, starts in repeated(keys[several], np.array([x[1] for x in some]), [x[2] for x in some], weights):
-                note(some[i], starts)
+            offsets, some = rows["offset"].to_numpy()[several], [contents[i] for i in several.tolist()]
+            for i, starts in repeated(keys[several], offsets, some, weights[several]):
+                note(int(several[i]), starts)
         if out:
-            yield pd.DataFrame(out, columns=["t", "n", "low", "high"])
+            yield pd.DataFrame(out, columns=["key", "one", "two", "low", "high"])
+
+    columns = distinct.select("key", "one", "two", "offset", "content", "weight")
+    in_order = columns.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
+    return in_order.mapInPandas(run, "key long, one long, two long, low int, high int")
+
+
+_PART = "key long, one long, two long, of long, of_one long, of_two long, near int, far int, shift int, offset int, content binary, weight long"
 
-    pieces_in_order = cut.repartition(partitions(cut.sparkSession), "key").sortWithinPartitions("key")
-    columns = pieces_in_order.select("key", "offset", "content", "weight", "owners")
-    return columns.mapInPandas(run, f"{_TEXT}, low int, high int")
+
+def halves(parts: DataFrame) -> DataFrame:
+    """Each part of a piece (starts ``near`` to ``far`` bytes before the anchor) cut in two, under new keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                content, last = bytes(r.content), len(r.content) - LENGTH
+                middle = (r.near + r.far) // 2
+                for near, far in ((r.near, middle), (middle + 1, r.far)):
+                    low, high = max(0, r.offset - far), min(last, r.offset - near)
+                    if low > high:
+                        continue
+                    # what every string of this half holds, whichever it is
+                    common = content[r.offset - near : r.offset - far + LENGTH]
+                    name = hashlib.blake2b(b"%d %d " % (r.key, near) + common, digest_size=8).digest()
+                    part, offset = content[low : high + LENGTH], r.offset - low
+                    key = int.from_bytes(name, "little", signed=True)
+                    out.append((key, *_digest(offset, part), r.of, r.of_one, r.of_two, near, far, r.shift + low, offset, part, r.weight))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PART.split(", ")])
+
+    return parts.mapInPandas(run, _PART)
+
+
+def _whole(pieces: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of the pieces whose key is not hot, and those whose key is."""
+    return pieces.join(hot, "key", "left_anti"), pieces.join(hot, "key", "left_semi")
+
+
+def repeated_starts(distinct: DataFrame) -> DataFrame:
+    """(key, one, two, low, high) of all pieces, those of hot anchors in parts."""
+    name = ["key", "one", "two"]
+    hot = materialize(distinct.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+    if hot.isEmpty():
+        return repeats_of(distinct)
+    cold, rest = _whole(distinct, hot)
+    found = [repeats_of(cold)]
+    of = [F.col(c).alias(a) for c, a in zip(name, ("of", "of_one", "of_two"))]
+    parts = rest.select(*name, *of, F.lit(0).alias("near"), F.lit(LENGTH - GRAM).alias("far"), F.lit(0).alias("shift"), "offset", "content", "weight")
+    while not hot.isEmpty():
+        parts = _store(halves(parts), "parts")
+        merged = parts.groupBy(*name).agg(
+            F.first("offset").alias("offset"), F.first("content").alias("content"), F.sum("weight").alias("weight")
+        )
+        # at the end a part is one string, and equal strings are one row
+        hot = materialize(merged.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+        done, rest = _whole(merged, hot)
+        told = parts.join(repeats_of(done), name).select(
+            F.col("of").alias("key"), F.col("of_one").alias("one"), F.col("of_two").alias("two"),
+            (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"),
+        )
+        found.append(materialize(told, "told"))
+        parts = parts.join(hot, "key", "left_semi").select(*[c.split()[0] for c in _PART.split(", ")])
+    return reduce(DataFrame.union, found)
 
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with ``kept`` if asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", text.alias("text")).withColumns(
         {"t": F.xxhash64("text"), "n": F.octet_length("text").cast("int")}
     )
     texts = docs.filter(F.col("n") >= LENGTH)
     groups = materialize(texts.groupBy("t", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     found = _store(anchors(texts.select("t", "n", "text")), "anchors")
-    twice = found.groupBy("key").agg(F.sum("c").alias("all")).filter("all > 1")
-    wanted = found.select("t", "n", "key").distinct().join(twice, "key").groupBy("t", "n").agg(
-        F.collect_list("key").alias("keys"),
-        F.collect_list(F.when(F.col("all") > HOT, F.col("key"))).alias("hot"),
-    )
-    one = texts.join(wanted.join(groups, ["t", "n"]), ["t", "n"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    cut = _store(cut_pieces(one.select("t", "n", "text", "keys", "hot", "copies")), "pieces")
-    plain = repeats_of(cut.filter("content IS NOT NULL"))
-    single = cut.filter("content IS NULL").select("key", "other", "weight", F.explode("owners").alias("o"))
-    often = single.groupBy("key", "other").agg(F.sum("weight").alias("all")).filter("all > 1")
-    often = single.join(often, ["key", "other"]).select("o.t", "o.n", F.col("o.s").alias("low"), F.col("o.s").alias("high"))
-    spans = plain.union(often).groupBy("t", "n").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    twice = found.groupBy("key").agg(F.sum("c").alias("all")).filter("all > 1").select("key")
+    wanted = found.select("t", "n", "key").distinct().join(twice, "key").groupBy("t", "n").agg(F.collect_list("key").alias("keys"))
+    wanted = materialize(wanted.join(groups, ["t", "n"]), "wanted")
+    one = texts.join(wanted, ["t", "n"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    one = one.select("t", "n", "text", "keys", "copies")
+    name = ["key", "one", "two"]
+    distinct = _store(cut_pieces(one, False).groupBy(*name).agg(
+        F.first("offset").alias("offset"), F.first("content").alias("content"), F.sum("weight").alias("weight")
+    ), "pieces")
+    starts = repeated_starts(distinct).groupBy(*name).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    places = cut_pieces(one, True).join(materialize(starts, "starts"), name).select("t", "n", "s", F.explode("runs").alias("r"))
+    spans = places.select("t", "n", (F.col("s") + F.col("r.low")).alias("low"), (F.col("s") + F.col("r.high")).alias("high"))
+    spans = spans.groupBy("t", "n").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     spans = materialize(spans, "spans")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
