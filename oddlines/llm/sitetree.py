@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from oddlines.storage import materialize
 
-PAGES = 8  # of a host must show a node before it can be taken out
+PAGES = 2  # of a host must show a node before anything can be said of it
 LEAST = 0.25  # importance below which a branch goes
 GAMMA = 0.9  # how much the children count, a level
 
@@ -58,6 +59,12 @@ _NAMES = set(
     " newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply replies"
     " respond discussion toolbar pagination pager skip".split()
 )
+_REMARKS = set("comment comments disqus reply replies respond discussion".split())
+_PARTS = set(
+    "area bar block box button content container group inner item items left links link list panel right section slot top"
+    " bottom unit wrap wrapper".split()
+)
+_NOT = set("has is no not with without".split())  # a class that says so names something else
 _ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5"
     " h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -65,11 +72,12 @@ _ENDS_P = set(
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "main", "body", "div", "section", "td", "th"}
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+_SECTION = r"<!\[CDATA\[.*?\]\]>|"
+_TAG, _TAG_ONLY = (re.compile(
+    rf"<!--(?:.*?-->|.*\Z)|{section}<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>",
     re.S,
-)
+) for section in (_SECTION, ""))  # the second one where no section ends any more
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 
@@ -87,59 +95,77 @@ class Page:
     key: list[int] = field(default_factory=lambda: [0])
     tag: list[str] = field(default_factory=lambda: [""])
     banned: list[bool] = field(default_factory=lambda: [False])
+    named: list[bool] = field(default_factory=lambda: [False])
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _look(tag: str, attributes: str) -> tuple[str, bool]:
-    """The style of an element, and whether its names ban it."""
+def _names(value: str) -> Iterator[str]:
+    """What the classes or the id of an element name: a single word, the last of several, or one that only says where or what part."""
+    for token in value.split():
+        words = _WORD.findall(token)
+        if words and words[0] not in _NOT:
+            yield words[-1]
+            if all(w in _PARTS for w in words[1:]):
+                yield words[0]
+
+
+def _look(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The style of an element, and whether its markup, or only its names, ban it."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in _OUT
+        return tag, tag in _OUT, False
     found = {}
     for name, value in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), entities.unescape(value.strip("\"'")).lower())
     style = " ".join(sorted(found.get("class", "").split()))
-    names = _WORD.findall(found.get("class", "") + " " + found.get("id", ""))
+    names = {*_names(found.get("class", "")), *_names(found.get("id", ""))}
     out = tag in _OUT or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in _ROLES
-    if tag not in ("html", "body", "article", "main"):
-        out = out or not _NAMES.isdisjoint(names)
-    return f"{tag}.{style}" if style else tag, out
+    named = False
+    if tag not in ("html", "body", "main"):
+        out = out or not _REMARKS.isdisjoint(names)
+        named = tag != "article" and not _NAMES.isdisjoint(names)
+    return f"{tag}.{style}" if style else tag, out, named
 
 
 def parse(page: str) -> Page:
+    """One pass over a page; what an end tag or a block could close is counted, so nothing is searched for in vain."""
     out = Page()
-    open_elements, pending, at, end = [0], [], 0, len(page)
+    open_elements, holders, pending, at, end = [0], [0], [], 0, len(page)
+    depth_of: Counter[str] = Counter()  # open elements of each tag
+    last, last_section = page.rfind(">"), page.rfind("]]>")
 
     def close_block() -> None:
         text = " ".join(entities.unescape("".join(pending)).split()) if pending else ""
         if text:
-            holder = next(i for i in reversed(open_elements) if out.tag[i] not in _INLINE)
-            out.blocks.append((holder, text))
+            out.blocks.append((holders[-1], text))
         pending.clear()
 
     def pop_to(depth: int) -> None:
-        if any(out.tag[i] not in _INLINE for i in open_elements[depth:]):
+        gone = open_elements[depth:]
+        if any(out.tag[i] not in _INLINE for i in gone):
             close_block()
+        for i in gone:
+            depth_of[out.tag[i]] -= 1
+            if holders[-1] >= gone[0] > 0:
+                holders.pop()
         del open_elements[depth:]
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
+    while at <= last:
+        if not (m := (_TAG if at <= last_section else _TAG_ONLY).search(page, at)):
             break
         pending.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             if page.startswith("<![CDATA[", m.start()):
-                pending.append(entities.escape(page[m.start() + 9 : m.end() - 3]))
+                pending.append(entities.escape(page[m.start() + 9 : m.end() - 3]) if m.end() - 3 <= last_section else "")
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((d for d in range(len(open_elements) - 1, 0, -1) if out.tag[open_elements[d]] == tag), 0)
-            if depth:
-                pop_to(depth)
+            if depth_of[tag]:
+                pop_to(next(d for d in range(len(open_elements) - 1, 0, -1) if out.tag[open_elements[d]] == tag))
             continue
         if tag in _ENDS_P or tag in _SAME:
             ends = {"p"} if tag in _ENDS_P else _SAME[tag]
-            for d in range(len(open_elements) - 1, 0, -1):
+            for d in range(len(open_elements) - 1, 0, -1) if any(depth_of[e] for e in ends) else ():
                 name = out.tag[open_elements[d]]
                 if name in ends:
                     pop_to(d)
@@ -155,7 +181,9 @@ def parse(page: str) -> Page:
             continue
         if tag not in _INLINE:
             close_block()
-        style, banned = _look(tag, m[3])
+        style, banned, named = _look(tag, m[3])
+        if tag == "header" and depth_of["article"]:
+            banned = False  # the article's own head
         above = open_elements[-1]
         if tag in _RAW:
             stop = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
@@ -167,13 +195,37 @@ def parse(page: str) -> Page:
         out.key.append(xxhash.xxh64_intdigest(style, seed=out.key[above]) >> 1)
         out.tag.append(tag)
         out.banned.append(banned or out.banned[above])
+        out.named.append(named)
         if not m[3].endswith("/"):
             open_elements.append(len(out.tag) - 1)
-    pending.append(page[at:])
+            depth_of[tag] += 1
+            if tag not in _INLINE:
+                holders.append(len(out.tag) - 1)
+    pending.append(page[at:].split("<!--", 1)[0])
     close_block()
+    _ban_named(out)
     return out
 
 
+def _ban_named(page: Page) -> None:
+    """Ban what names say, but not what holds most of the text that is left."""
+    root = [-1] * len(page.tag)  # the outermost element that names ban
+    for i in range(1, len(page.tag)):
+        above = root[page.parent[i]]
+        root[i] = above if above >= 0 else i if page.named[i] else -1
+    sizes: dict[int, int] = {}
+    for i, text in page.blocks:
+        if not page.banned[i]:
+            sizes[root[i]] = sizes.get(root[i], 0) + len(text)
+    total = sum(sizes.values())
+    kept = {r for r, n in sizes.items() if 2 * n > total}
+    for i in range(1, len(page.tag)):
+        if root[i] in kept:  # what it holds may still be named itself
+            page.banned[i] = page.banned[i] or page.banned[page.parent[i]] or page.named[i] and i != root[i]
+        else:
+            page.banned[i] = page.banned[i] or root[i] >= 0
+
+
 def styles_of(page: Page) -> Iterator[tuple[int, int, int, int]]:
     """(node, node above, presentation, content) of each style node of a page that markup does not ban."""
     children: dict[int, list[str]] = {}
@@ -244,12 +296,29 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 inner = sum(rows[k].m * importance[k] for k in kids) / weight
                 own = (1 - GAMMA) * r.shape + GAMMA * max(inner, own if r.with_text == r.with_text else 0)
             importance[n] = own
-        drop = sorted(n for n in order if importance[n] < LEAST)
+        # few pages say little: of two, only what is the same on both can go
+        drop = sorted(n for n in order if importance[n] + (1 - importance[n]) / rows[n].m ** 2 <= LEAST)
         return pd.DataFrame({"host": [tree["host"].iloc[0]], "drop": [drop]})[: 1 if drop else 0]
 
     return nodes.groupBy("host").applyInPandas(decide, "host string, drop array<long>")
 
 
+def _main_article(page: Page, inside: list[bool]) -> None:
+    """Of several articles that are not inside each other keep the one with most of their text, if one has most."""
+    root = [-1] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        above = root[page.parent[i]]
+        root[i] = above if above >= 0 else i if inside[i] else -1
+    sizes: dict[int, int] = {}
+    for i, text in page.blocks:
+        if inside[i] and not page.banned[i]:
+            sizes[root[i]] = sizes.get(root[i], 0) + len(text)
+    first = max(sizes, key=sizes.get, default=-1)
+    if len(sizes) > 1 and 2 * sizes[first] > sum(sizes.values()):
+        for i in range(1, len(page.tag)):
+            inside[i] = inside[i] and root[i] == first
+
+
 def main_text(page: str | None, drop: set[int] | frozenset[int] = frozenset()) -> str:
     """The text of a page without what markup bans and without the branches of these style nodes."""
     if not page:
@@ -262,6 +331,7 @@ def main_text(page: str | None, drop: set[int] | frozenset[int] = frozenset()) -
         if any(inside):
             break
     article = any(inside)
+    _main_article(found, inside)
     blocks = [(i, text) for i, text in found.blocks if not found.banned[i] and (inside[i] or not article)]
     if drop:
         removed = [-1] * len(found.tag)  # the outermost branch to be taken out
