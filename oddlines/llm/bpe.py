@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from oddlines.llm.common import bound_batches
+from oddlines.llm.words import give_back
 
 # Fixed value: how byte-level BPE splits text into words before merging.
 WORD = regex.compile(
@@ -338,6 +339,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_ids: bool
                 begin = end
                 new = encoded(bpe, [value or "" for value in part.column(source).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], [*kept, *made])
+            give_back()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from oddlines.storage import materialize
 
 BINS = 4096
 FEW = 20_000  # values of one bin that are sorted outright
-ROWS_AT_ONCE = 2000  # rows that go to a Python worker at once: of long texts the usual 10,000 are too many
+ROWS_AT_ONCE = 1000  # rows that go to a Python worker at once: of long texts the usual 10,000 are too many
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

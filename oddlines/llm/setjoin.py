@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from oddlines.llm.common import bound_batches, components, partitions
-from oddlines.llm.words import arrow_portions, hashed_words, mix, portions, shingle_sets
+from oddlines.llm.words import arrow_portions, give_back, hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
 GROUP = 2000  # sets that one task compares with each other
@@ -409,6 +409,8 @@ def _classes(
             for i, r in enumerate(_roots(len(block), links)):
                 if len(links[i]):
                     out.append((sid[i], sid[r], copies[links[i]].sum()))
+        del rows, found
+        give_back()
         return pd.DataFrame(out, columns=["sid", "root", "links"]).astype("int64")
 
     work = work.repartition(partitions(docs.sparkSession), "task")
