@@ -95,9 +95,9 @@ def role_line(role: Column) -> Column:
 
 
 def role_of(line: Column) -> Column:
-    # a backslash pair is set aside while line ends come back
-    aside = F.replace(line, F.lit("\\\\"), F.lit("\u0000"))
-    return unescape(F.replace(F.replace(aside, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\")))
+    # between two backslash pairs a backslash only stands before an n
+    parts = F.split(line, r"\\\\", -1)
+    return unescape(F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\"))
 
 
 def render(messages: DataFrame) -> DataFrame:

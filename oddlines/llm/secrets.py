@@ -4,11 +4,11 @@ The fixed patterns give labelled credentials of three kinds. For each kind a
 prefix tree of a bounded sample is folded into a probabilistic automaton by
 merging states whose outgoing frequencies are statistically compatible
 (Hoeffding's bound, taken down the tree). A further automaton is learnt from
-long words with digits that no pattern took. Every candidate of every text,
-a run of credential signs with a digit in it, is then scored: the best
+runs of credential signs that no pattern touched. Every candidate of every text,
+a run of ``LEAST`` such signs or more, is then scored: the best
 log-likelihood a sign under a credential automaton less that under the
-background. Candidates above the threshold give spans of kind ``format``;
-those that touch a span of a fixed pattern are left out, the fixed spans always stay.
+background. Candidates above the threshold give spans of kind ``format``, also where
+they hold or overlap a span of a fixed pattern, unless one covers them whole; the fixed spans always stay.
 
 Null and empty texts have no spans. Texts are scanned whole; offsets are code
 points. Rows are independent of each other, so ties and repeated rows repeat;
@@ -36,7 +36,7 @@ HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 ACCESS_LONG = re.compile(r"AKIA[A-Z0-9]{14,}")
 LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
+LONG = 4096  # labelled strings of more signs are not drawn into the sample
 
 SAMPLE = 800  # strings a kind that an automaton is learnt from
 ALPHA = 0.05  # risk of refusing a merge of equal states
@@ -59,7 +59,7 @@ def credential(text: str, span: tuple[int, int, int]) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs of credential signs with a digit that touch no span of a fixed pattern."""
+    """Runs of credential signs that no span of a fixed pattern covers whole; they may hold or overlap one."""
     joined: list[tuple[int, int]] = []
     for start, _, end in taken:
         if joined and start <= joined[-1][1]:
@@ -69,11 +69,20 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
     at = 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not DIGIT.search(text, start, end):
-            continue
-        while at < len(joined) and joined[at][1] <= start:
+        while at < len(joined) and joined[at][1] < end:
+            at += 1
+        if at == len(joined) or joined[at][0] > start:
+            yield start, end
+
+
+def _apart(runs: Iterator[tuple[int, int]], taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of the runs that touch no span of a fixed pattern."""
+    spans, at, reach = sorted((s, e) for s, _, e in taken), 0, 0
+    for start, end in runs:
+        while at < len(spans) and spans[at][0] < end:
+            reach = max(reach, spans[at][1])
             at += 1
-        if at == len(joined) or joined[at][0] >= end:
+        if reach <= start:
             yield start, end
 
 
@@ -229,8 +238,8 @@ def labelled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataF
                     continue
                 taken = base_spans(value)
                 rows += [(KINDS[span[1]], credential(value, span)) for span in taken]
-                rows += [("background", value[s:e]) for s, e in candidates(value, taken)]
-            new = pd.DataFrame(rows, columns=["kind", "value"]).drop_duplicates()
+                rows += [("background", value[s:e]) for s, e in _apart(candidates(value, taken), taken)]
+            new = pd.DataFrame([r for r in rows if len(r[1]) <= LONG], columns=["kind", "value"]).drop_duplicates()
             new["rank"] = [xxhash.xxh64_intdigest(v) >> 1 for v in new["value"]]
             kept = lowest(pd.concat([kept, new]) if len(kept) else new)
         if len(kept):
@@ -249,7 +258,7 @@ def infer(docs: DataFrame, text: str = "text", sample: int = SAMPLE, margin: flo
     """Learn the automata; at most ``sample`` strings for each of four kinds reach the driver."""
     strings: dict[str, list[str]] = {}
     for kind, value in sorted(map(tuple, labelled(docs, text, sample).collect())):
-        strings.setdefault(kind, []).append(value[:256])  # a longer one adds nothing to a format
+        strings.setdefault(kind, []).append(value)
     background = strings.pop("background", [])
     if not strings:
         return None

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from oddlines.llm import chat
 from oddlines.llm.queries import CHECKS, QUERIES
 from tests.compare import connect, differences
@@ -60,3 +62,10 @@ def test_equal_turns_nulls_and_no_rows(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = QUERIES["op4_chat_formatting"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_roles_with_nul_backslash_and_line_end(spark):
+    roles = ["a\0b", "\\", "\\n", "\n", "a\\\n\\\\nb\0\\", "user"]
+    frame = spark.createDataFrame([(r,) for r in roles], "role string")
+    back = frame.select("role", chat.role_line(F.col("role")).alias("line"), chat.role_of(chat.role_line(F.col("role"))).alias("back"))
+    assert all(r.role == r.back and "\n" not in r.line for r in back.collect())

@@ -77,3 +77,27 @@ def test_automaton_keeps_counts_and_merges():
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.infer(docs) is None and S.digests(S.find_secrets(docs, None)).count() == 0
+
+
+def test_candidates_hold_and_overlap_fixed_spans():
+    text = "see sk-Live-0123456789abcdef0123XYZtail and 0123456789abcdef or onlyletterswithoutdigits short"
+    spans = S.base_spans(text)
+    found = [text[a:b] for a, b in S.candidates(text, spans)]
+    assert found == ["sk-Live-0123456789abcdef0123XYZtail", "onlyletterswithoutdigits"]
+    assert [text[a:b] for a, b in S._apart(S.candidates(text, spans), spans)] == ["onlyletterswithoutdigits"]
+
+
+def test_letters_only_credentials_and_enclosing_spans(spark):
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("QXZJK") for _ in range(12))
+    prose = lambda n: " ".join(rng.choice(["internationalisation", "extraordinarily", "responsibilities", "characteristics"]) for _ in range(n))
+    mixed = lambda: f"sk-Live-{rng.getrandbits(64):016x}{key()}"
+    rows = [(i, f"{prose(6)} token={(key, mixed)[i % 2]()} {prose(5)}") for i in range(300)]
+    lost, held = key(), mixed()
+    rows += [(900, f"{prose(9)} {lost} {prose(3)}"), (901, f"{prose(4)} {held} {prose(2)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = S.redact(S.find_secrets(docs, S.infer(docs)))
+    texts = {r.doc_id: r.text for r in found.collect()}
+    assert lost not in texts[900] and texts[900].count("[SECRET]") == 1
+    assert texts[901] == rows[-1][1].replace(held, "[SECRET]")
+    assert all("internationalisation" in t or "responsibilities" in t or "extra" in t or "charac" in t for t in texts.values())
