@@ -29,6 +29,50 @@ def isolation_scores(spark, sf_dir):
     return forest.score_vectors(vectors, nodes).select("vec_id", F.round("raw_score", 9).alias("raw_score"))
 
 
+RULE_TREES, RULE_DEPTH = 8, 5
+
+
+def _rule_nodes(spark, sf_dir):
+    """A node table made by rule: full trees whose features, cuts and leaf sizes follow from tree and node."""
+    tree, node = F.col("tree_id"), F.col("node_id")
+    inner = node < 2**RULE_DEPTH - 1
+    grid = spark.range(RULE_TREES * (2 ** (RULE_DEPTH + 1) - 1)).select(
+        F.floor(F.col("id") / (2 ** (RULE_DEPTH + 1) - 1)).cast("int").alias("tree_id"),
+        F.pmod("id", F.lit(2 ** (RULE_DEPTH + 1) - 1)).cast("int").alias("node_id"),
+    )
+    child = lambda step: F.when(inner, 2 * node + step).otherwise(-1).cast("int")
+    return grid.select(
+        F.lit("all").alias("model"), "tree_id", "node_id",
+        F.when(inner, F.pmod(7 * tree + 11 * node, F.lit(64))).otherwise(-1).cast("int").alias("feature_id"),
+        ((F.pmod(31 * tree + 17 * node, F.lit(41)) - 20).cast("double") / 100).alias("cut"),
+        child(1).alias("left"), child(2).alias("right"),
+        F.when(inner, 256).otherwise(F.pmod(tree + node, F.lit(9)) + 1).cast("long").alias("size"),
+    )
+
+
+def _rule_sql() -> str:
+    steps = ["at0 AS (SELECT vec_id, embedding AS e, t, 0 AS node FROM embeddings, range(8) r(t))"]
+    for d in range(RULE_DEPTH):
+        steps.append(
+            f"at{d + 1} AS (SELECT vec_id, e, t, 2 * node + CASE WHEN e[(7 * t + 11 * node) % 64 + 1]::DOUBLE"
+            f" <= ((31 * t + 17 * node) % 41 - 20)::DOUBLE / 100 THEN 1 ELSE 2 END AS node FROM at{d})"
+        )
+    length = "CASE WHEN n = 2 THEN 1 WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n ELSE 0 END"
+    return f"""WITH {", ".join(steps)},
+    leaves AS (SELECT vec_id, ((t + node) % 9 + 1)::DOUBLE AS n FROM at{RULE_DEPTH}),
+    norm AS (SELECT {length} AS norm FROM (SELECT 256::DOUBLE AS n))
+    SELECT vec_id, round(-pow(2, -avg({RULE_DEPTH} + {length}) / any_value(norm)), 9) AS raw_score FROM leaves, norm
+    GROUP BY vec_id"""
+
+
+@query("forest_walk", _rule_sql())
+def forest_walk(spark, sf_dir):
+    """Scores of the embeddings under trees made by rule."""
+    vectors, _ = _embedding_vectors(spark, sf_dir)
+    scored = forest.score_vectors(vectors, _rule_nodes(spark, sf_dir))
+    return scored.select("vec_id", F.round("raw_score", 9).alias("raw_score"))
+
+
 @query("contamination_threshold", "SELECT round(quantile_cont(value, 0.03), 6) AS threshold FROM events")
 def contamination_threshold(spark, sf_dir):
     events = t.table(spark, sf_dir, "events").select("value")

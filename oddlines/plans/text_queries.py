@@ -179,13 +179,7 @@ def _vectors(spark, sf_dir):
     return vectors, [r["term"] for r in vocab.select("term_id", "term").orderBy("term_id").collect()]
 
 
-@query(
-    "tfidf_wide",
-    f"""WITH {WEIGHTS},
-    cells AS (SELECT d.doc_id, v.term, round(coalesce(w.weight, 0), 6) AS weight FROM documents d CROSS JOIN voc v
-              LEFT JOIN weights w ON w.doc_id = d.doc_id AND w.term = v.term)
-    SELECT * FROM (PIVOT cells ON term USING max(weight) GROUP BY doc_id)""",
-)
+@query("tfidf_wide")
 def tfidf_wide(spark, sf_dir):
     """Every document with a column for each term of the vocabulary."""
     vectors, terms = _vectors(spark, sf_dir)
@@ -193,6 +187,19 @@ def tfidf_wide(spark, sf_dir):
     return f.wide(rounded, ["doc_id"], terms)
 
 
+@query(
+    "tfidf_wide_cells",
+    f"""WITH {WEIGHTS} SELECT doc_id, term, round(weight, 6) AS weight, (SELECT count(*) FROM voc) AS n_columns FROM weights
+    WHERE round(weight, 6) <> 0""",
+)
+def tfidf_wide_cells(spark, sf_dir):
+    """The cells of the wide table that are not zero, under the names of their columns."""
+    table = tfidf_wide(spark, sf_dir)
+    terms = table.columns[1:]
+    cells = F.filter(F.array(*[F.struct(F.lit(x).alias("term"), F.col(f"`{x}`").alias("weight")) for x in terms]), lambda c: c["weight"] != 0)
+    return table.select("doc_id", F.inline(cells)).withColumn("n_columns", F.lit(len(terms)).cast("long"))
+
+
 @query(
     "feature_shape",
     f"WITH {VOCAB} SELECT (SELECT count(*) FROM documents) AS n_rows, count(*) AS n_features FROM voc",
