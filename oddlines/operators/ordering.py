@@ -9,13 +9,16 @@ and completed from a table with one row per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from math import ceil, floor, inf, isfinite
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from oddlines.storage import materialize
 
 ROWS_PER_CHUNK = 1 << 19
+BINS = 1024  # into which a range of values is counted at a time
+FEW = 10_000  # rows of one bin that are looked at one by one
 _ROW_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
 
@@ -114,6 +117,50 @@ def lowest_rows(df: DataFrame, order: Sequence[str | Column], count: Column) ->
     return with_position(df, order, "_rank").filter(F.col("_rank") < count).drop("_rank")
 
 
+def values_at(rows: DataFrame, ranks: Iterable[int], low: float, high: float) -> dict[int, float]:
+    """The values at ranks (from 0) of finite values ``v`` that count ``w`` times and lie between ``low`` and ``high``.
+
+    Counts by bins narrow the range round each rank until it holds one value or
+    few rows; nothing is ordered or moved but counts, at most ``BINS`` a range and round.
+    """
+    found: dict[int, float] = {}
+    around = {r: (low, high, 0) for r in ranks}  # range of a rank and how many rows lie below it
+    while around:
+        ranges = sorted(set(around.values()))
+        place = F.lit(None).cast("struct<k:int,bin:long>")
+        for k, (a, b, _) in enumerate(ranges):
+            step = F.floor((F.col("v") - F.lit(a)) / F.lit(b - a) * BINS) if 0 < b - a < inf else F.lit(0).cast("long")
+            if b - a == inf:  # too wide for a difference
+                step = F.floor((F.col("v") / BINS - F.lit(a / BINS)) / F.lit(b / BINS - a / BINS) * BINS)
+            here = F.struct(F.lit(k).alias("k"), F.least(step, F.lit(BINS - 1).cast("long")).alias("bin"))
+            place = F.when(F.col("v").between(a, b), here).otherwise(place)
+        counts = rows.groupBy(place.alias("at")).agg(F.sum("w"), F.min("v"), F.max("v"), F.count("v")).filter("at IS NOT NULL")
+        cells = sorted((r[0].k, r[0].bin, *r[1:]) for r in counts.collect())
+        few: dict[tuple[float, float], list[tuple[int, int]]] = {}
+        for rank, (a, b, below) in list(around.items()):
+            k = ranges.index((a, b, below))
+            for _, _, n, least, most, held in (c for c in cells if c[0] == k):
+                if rank < below + n:
+                    break
+                below += n
+            del around[rank]
+            if least == most:
+                found[rank] = least
+            elif held <= FEW:
+                few.setdefault((least, most), []).append((rank, below))
+            else:
+                around[rank] = (least, most, below)
+        for (a, b), wanted in few.items():
+            values = rows.filter(F.col("v").between(a, b)).groupBy("v").agg(F.sum("w")).collect()  # at most FEW
+            upto = 0
+            for v, n in sorted(values):
+                for rank, below in wanted:
+                    if upto <= rank - below < upto + n:
+                        found[rank] = v
+                upto += n
+    return found
+
+
 def percentiles(
     df: DataFrame,
     value: str,
@@ -123,16 +170,22 @@ def percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles: columns ``group``, ``fraction``, ``percentile``.
 
-    ``freq`` says how often a row counts. Equal values are folded together
+    ``freq`` says how often a row counts. Without groups the wanted values are
+    found by counting, see ``values_at``; with groups equal values are folded together
     before anything is ordered.
     """
     group = list(group)
     weight = F.col(freq) if freq else F.lit(1).cast("long")
-    folded = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_value"))
-        .agg(F.sum(weight).alias("_freq"))
-    )
+    present = df.filter(F.col(value).isNotNull())
+    if not group:
+        rows = present.select(F.col(value).cast("double").alias("v"), weight.cast("long").alias("w"))
+        low, high, wild, n = rows.agg(F.min("v"), F.max("v"), F.max(F.isnan("v")), F.sum("w")).first()
+        if n and not wild and isfinite(low) and isfinite(high):
+            ranks = {float(f): float(f) * (n - 1) for f in fractions}
+            found = values_at(rows, {r for x in ranks.values() for r in (floor(x), ceil(x))}, low, high)
+            told = [(f, found[floor(x)] + (found[ceil(x)] - found[floor(x)]) * (x - floor(x))) for f, x in ranks.items()]
+            return df.sparkSession.createDataFrame(told, "fraction double, percentile double")
+    folded = present.groupBy(*group, F.col(value).alias("_value")).agg(F.sum(weight).alias("_freq"))
     running = with_running(folded, [F.col("_value")], group, sums={"_upto": F.col("_freq")})
     total = F.max("_upto")
     wanted = F.array(*[F.lit(float(f)) for f in fractions])

@@ -68,3 +68,23 @@ def test_null_keys_are_a_group(spark):
     assert sorted((r.id, r.s) for r in got) == [(1, 5.0), (2, 1.0), (3, 12.0), (4, 3.0)]
     found = ordering.percentiles(df, "v", [1.0], group=["g"]).collect()
     assert {(r.g, r.percentile) for r in found} == {(None, 7.0), ("a", 2.0)}
+
+
+def test_values_at_ranks_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW", 5)
+    monkeypatch.setattr(ordering, "BINS", 8)
+    rng = np.random.default_rng(4)
+    for values in (
+        rng.normal(size=500), np.repeat([1.0, 2.0, 3.0], [400, 3, 90]), np.array([7.0]), np.array([-1e308, 0.0, 5e-324, 1e308]),
+        np.concatenate([rng.exponential(1e-9, 300), [1e12]]), np.array([0.1, np.nextafter(0.1, 1)] * 40),
+    ):
+        weights = rng.integers(1, 4, len(values))
+        df = spark.createDataFrame([(float(v), int(w)) for v, w in zip(values, weights)] + [(None, 1)], "v double, w long")
+        fractions = [0.0, 0.03, 0.25, 0.5, 0.999, 1.0]
+        found = {r.fraction: r.percentile for r in ordering.percentiles(df, "v", fractions, "w").collect()}
+        spread = np.sort(np.repeat(values, weights))
+        for f in fractions:
+            rank = f * (len(spread) - 1)
+            low, high = spread[int(np.floor(rank))], spread[int(np.ceil(rank))]
+            assert found[f] == pytest.approx(low + (high - low) * (rank - np.floor(rank)), rel=1e-12)
+    assert ordering.percentiles(df.limit(0), "v", [0.5]).collect() == []
