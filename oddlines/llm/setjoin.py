@@ -17,7 +17,7 @@ candidate group. A list of over ``CELL`` sets is not looked into; its sets are o
 
 Inside a group the intersections of a set with all others are derived from those of
 the set most like it whose answers are known: only tokens in which the two differ are looked up, and
-added or taken off. Groups of over ``GROUP`` sets are cut into blocks, and each two blocks meet in
+added or taken off. Groups of over ``GROUP`` sets or ``TOKENS`` tokens are cut into blocks, and each two blocks meet in
 a task of their own; no pair is left out and none is written: what comes out
 is one root and one number of links a set.
 
@@ -43,7 +43,7 @@ from oddlines.llm.common import bound_batches, components, partitions
 from oddlines.llm.words import arrow_portions, give_back, hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
-GROUP = 2000  # sets that one task compares with each other
+GROUP, TOKENS = 1000, 500_000  # sets, and tokens of sets, of a part of a group; two parts meet in a task
 SKETCH, CELL = 1024, 4096  # bits of a sketch, sets of a list that are told apart by sketches
 ENTRIES, HELD = 1 << 18, 1 << 21  # list entries that a task sends at a time and that it holds of a bucket
 SPARE = 3  # blocks beyond those that may differ
@@ -379,11 +379,14 @@ def _classes(
     found = materialize(lists(list_entries(docs, shingle, percent, 2 * partitions(spark)), cell, most), "lists")
     groups = materialize(components(candidate_pairs(found, sets, percent), "sid", "root"), "candidates")
 
-    held = groups.groupBy("root").agg(F.count("*").alias("held"))
-    buckets = max(1, (groups.count() + group - 1) // group)
-    parts = F.ceil(F.col("held") / group)
+    # tasks are cut by the number of sets and by what they hold
+    load = F.greatest(F.count("*") / group, F.sum("n") / TOKENS)
+    named = materialize(groups.withColumnRenamed("node", "sid").join(sets, "sid"), "named")
+    held = named.groupBy("root").agg(load.alias("load"))
+    buckets = 1 + int(named.agg(load).first()[0] or 0)
+    parts = F.ceil("load")
     part = F.pmod(F.xxhash64("sid"), parts)
-    placed = groups.withColumnRenamed("node", "sid").join(held, "root").join(sets, "sid").select(
+    placed = named.join(held, "root").select(
         "sid", "rep", "copies", "root", part.alias("part"), F.col("row.digest").alias("of"),
         F.when(parts == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("place"),
         # a part of a cut group meets each part, itself included, in a task of their own
