@@ -43,7 +43,7 @@ from oddlines.llm.common import bound_batches, components, partitions
 from oddlines.llm.words import arrow_portions, give_back, hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
-GROUP, TOKENS = 1000, 500_000  # sets, and tokens of sets, of a part of a group; two parts meet in a task
+GROUP, TOKENS = 1500, 1_000_000  # sets, and tokens of sets, of a part of a group; two parts meet in a task
 SKETCH, CELL = 1024, 4096  # bits of a sketch, sets of a list that are told apart by sketches
 ENTRIES, HELD = 1 << 18, 1 << 21  # list entries that a task sends at a time and that it holds of a bucket
 SPARE = 3  # blocks beyond those that may differ
