@@ -337,6 +337,9 @@ def _leaks_of(docs: DataFrame, items: Items, schema: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item; rows without an id stay."""
-    leaks = materialize(find_leaks(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti")
+    """The rows that hold no item; a row is named by its id, null or not, and its text, so it alone decides about itself."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")))
+    rows = docs.withColumn("_row", key)
+    held = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    held = materialize(held.select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return rows.join(held, "_row", "left_anti").select(*docs.columns)

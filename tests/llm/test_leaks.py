@@ -71,7 +71,9 @@ def test_paraphrases_and_clean_texts(spark):
     assert {(d, 53) for d, k in found if k == 0} == {(d, k) for d, k in found if k == 53}
     assert {d for d, _ in found} - {None, 902} <= {i for i in range(300) if i % 3 == 0}
     clean = leaks.without_leaks(docs, spark.createDataFrame(bench, BENCH))
-    assert {900, 901} <= {r.doc_id for r in clean.collect()} and clean.filter("doc_id = 902").count() == 0
+    left = {(r.doc_id, r.text) for r in clean.collect()}
+    assert clean.columns == ["doc_id", "text", "item_id"] and {(900, None), (901, ""), (902, "tiny")} <= left
+    assert not {(902, "so TINY it is"), (None, " ".join(items[3]))} & left
 
 
 def test_every_item_of_a_large_benchmark_is_found(spark):
