@@ -1,8 +1,8 @@
 """From raw documents to a selected, deduplicated, decontaminated, redacted and tokenised corpus.
 
 Every stage takes the rows its predecessor kept, with the columns of
-``documents``, and all but the last return these columns. A row with a null
-doc_id passes the stages that decide by id.
+``documents``, and all but the last return these columns. Rows are named by
+their id, null or not, and their text, so rows that share an id are judged one by one.
 """
 
 from __future__ import annotations
