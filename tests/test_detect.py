@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddlines.operators import decisions, features, metrics, reports
+from oddlines import storage
 from oddlines.plans import detect
 
 
@@ -107,3 +108,39 @@ def test_histogram_of_one_value(spark):
 def test_project_existing(spark):
     df = spark.createDataFrame([(1, "a")], "x int, y string")
     assert decisions.project_existing(df, ["y", "gone"]).columns == ["y"]
+
+
+def test_work_tables_go_and_texts_are_stored_once(spark, lines, monkeypatch):
+    """After fitting only what the result reads is left, and no stored column repeats another."""
+    stored = []
+    real = detect.materialize
+    monkeypatch.setattr(detect, "materialize", lambda d, label: stored.append((label, real(d, label))) or stored[-1][1])
+    result, _ = detect.detect_log_anomalies(lines)
+    names = {label: set(table.columns) for label, table in stored}
+    assert not {"event", "source", "level", "combined"} & names["prepared"]
+    assert result.filter("event != template or combined != concat('INFO ', source_folder, ' ', event_clean)").isEmpty()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(storage.work_root(spark))
+    left = {s.getPath().toString() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)}
+    paths = {label: table.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[1] for label, table in stored if label in ("prepared", "scores")}
+    assert all(any(path.endswith(name) for path in left) for name in paths.values())
+    for label, table in stored:
+        if label in ("texts", "vectors"):
+            with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+                table.count()
+
+
+def test_pairs_are_counted_for_frequent_words_only(spark, monkeypatch):
+    """The vocabulary is that of all words and pairs, with ties, weights and models."""
+    texts = [("a", i, f"aa bb cc{i % 3} dd{i} aa bb", 1 + i % 4) for i in range(40)] + [("b", 100, "aa aa bb", 2), ("b", 101, "", 1)]
+    df = spark.createDataFrame(texts, "model string, id long, text string, freq long")
+    grams = features.ngram_rows(df, ["model", "id", "freq"], "text")
+    for most in (1, 4, 7, 1000):
+        for extra in ({}, {"freq": "freq", "model": ["model"]}):
+            whole = features.vocabulary(grams, ["id"], most, **extra)
+            ours = features.ngram_vocabulary(df, ["id"], "text", most, **extra)
+            assert sorted(map(tuple, ours.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    stored = {}
+    real = features.materialize
+    monkeypatch.setattr(features, "materialize", lambda d, label: stored.setdefault(label, real(d, label)))
+    features.ngram_vocabulary(df, ["id"], "text", 2)
+    assert {r["term"] for r in stored["frequent"].collect()} == {"aa", "bb"}
