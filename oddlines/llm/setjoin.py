@@ -6,14 +6,18 @@ content is a key. Two sets that reach the similarity differ in at most d
 tokens, so with more than d blocks they agree in at least one of them; whole
 blocks that differ are skipped unread. The number of blocks is fixed for a
 class of sizes, and a set also enters the class below if it can be the larger
-side of a pair there. A set with many empty blocks (a short one) enters its
-rarest-by-hash prefix tokens besides, since a pair might agree in empty blocks only.
+side of a pair there. A set of no more filled blocks than its partners may differ in (a short one) enters its
+rarest-by-hash prefix tokens besides, since a pair might agree in empty blocks only. A set that agrees with each
+partner in more filled blocks than it has common ones stays out of the lists of common blocks. Which blocks
+are common is told from a sample of the texts; it decides about work, never about links.
 
 Lists with the same sets are one list. Inside a list, sets are told apart by
-sketches of ``SKETCH`` bits (the parity of the tokens that fall on each bit): as many bits
+sketches of ``SKETCH`` bits and more (the parity of the tokens that fall on each bit): as many bits
 as differ, so many tokens differ at least, so a pair beyond what the similarity allows is left out without
-its texts, and no pair within it is. Sets joined by pairs that are left form a
-candidate group. A list of over ``CELL`` sets is not looked into; its sets are one group with its first one.
+its texts, and no pair within it is. The bits grow with the tokens that may differ, so that sketches of long texts
+tell as much as those of short ones; a longer one is folded to the length of a shorter one. Sets joined by pairs
+that are left form a candidate group. A list of over ``CELL`` sets is not looked into; its sets are one group with
+its first one. Only texts that a bit filter of fixed size knows to be in a candidate group are moved.
 
 Inside a group the intersections of a set with all others are derived from those of
 the set most like it whose answers are known: only tokens in which the two differ are looked up, and
@@ -37,16 +41,18 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from oddlines.llm.common import bound_batches, components, partitions
 from oddlines.llm.words import arrow_portions, give_back, hashed_words, mix, portions, shingle_sets
 from oddlines.storage import materialize
 
 GROUP, TOKENS = 1500, 1_000_000  # sets, and tokens of sets, of a part of a group; two parts meet in a task
-SKETCH, CELL = 1024, 4096  # bits of a sketch, sets of a list that are told apart by sketches
+SKETCH, CELL = 1024, 4096  # least bits of a sketch, sets of a list that are told apart by sketches
+SAMPLE, COMMON, MOST_COMMON = 32, 16, 1 << 17  # one text in so many, held by so many of them: a common block; of these at most
+FILTER = 1 << 25  # bits of the filter of texts in candidate groups
 ENTRIES, HELD = 1 << 18, 1 << 21  # list entries that a task sends at a time and that it holds of a bucket
-SPARE = 3  # blocks beyond those that may differ
+SPARE = 3  # least blocks beyond those that may differ
 _PREFIX = 0x94D049BB133111EB
 
 
@@ -66,8 +72,8 @@ def classes(percent: int) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The index lists that a set of sorted hashes enters."""
+def keys_of(tokens: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
+    """The index lists that a set of sorted hashes enters; those of ``common`` blocks only if it may need them."""
     n, out = len(tokens), []
     if not n:
         return np.zeros(0, np.int64)
@@ -77,12 +83,20 @@ def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
     while k >= 0 and n <= table[k][2]:
         differ = table[k][3]
         if differ:
-            blocks = differ + SPARE
+            blocks = differ + max(SPARE, differ // 16)
             at = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(at, prepend=np.uint64(blocks)))
             sums = np.add.reduceat(content, starts)
-            out.append(mix(sums ^ (at[starts] + np.uint64((k + 1) << 40)) * np.uint64(0x9E3779B97F4A7C15)))
-            if blocks - len(starts) >= SPARE:  # all blocks in which a pair agrees may be empty
+            lists = mix(sums ^ (at[starts] + np.uint64((k + 1) << 40)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            largest = n * 100 // percent if k == first else table[k][1]  # partner in this class
+            agreed = len(starts) - (n + largest) * (100 - percent) // (100 + percent)  # filled ones, with any partner, at least
+            if common is not None and len(common) and agreed > 0:
+                at = np.minimum(np.searchsorted(common, lists), len(common) - 1)
+                rare = common[at] != lists
+                if len(lists) - rare.sum() < agreed:
+                    lists = lists[rare]
+            out.append(lists.view(np.uint64))
+            if agreed <= 0:  # all blocks in which a pair agrees may be empty
                 prefix = n - -(-n * percent // 100) + 1
                 out.append(mix(content[:prefix] ^ np.uint64(_PREFIX * (2 * k + 1) % 2**64)))
         k -= 1
@@ -106,18 +120,34 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """For each bit the parity of the tokens that fall on it."""
-    at = (mix(tokens) >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+def sketch_bits(n: int, percent: int) -> int:
+    """Four to eight times as many bits as tokens in which a set of this size and a partner may differ."""
+    return max(SKETCH, 1 << (8 * n * (100 - percent) // percent | 1).bit_length() - 1)
 
 
-def index_rows(docs: DataFrame, shingle: int) -> DataFrame:
+def sketch(tokens: np.ndarray, bits: int = SKETCH) -> bytes:
+    """For each bit (a power of two in all) the parity of the tokens that fall on it."""
+    at = (mix(tokens) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of words, longer ones as those of ``size`` bytes that the same sets have."""
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for own in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == own)
+        raw = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64)
+        out[at] = np.bitwise_xor.reduce(raw.reshape(len(at), own // size, size // 8), axis=1)
+    return out
+
+
+def index_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, digest, sid, n, sketch): each text's set, its size and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(set_id(s), len(s), sketch(s)) for s in _token_sets(batch, shingle)]
+            sets = [(set_id(s), len(s), sketch(s, sketch_bits(len(s), percent))) for s in _token_sets(batch, shingle)]
             sid, n, bits = zip(*sets) if sets else ((), (), ())
             columns = [batch.column("doc_id"), batch.column("digest")]
             columns += [pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())]
@@ -127,7 +157,16 @@ def index_rows(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, digest long, sid long, n long, sketch binary")
 
 
-def list_entries(docs: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
+def common_keys(docs: DataFrame, shingle: int, percent: int, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
+    """Lists that ``least`` texts of a sample enter, those with most texts; a choice of bounded size."""
+    some = docs.filter(F.pmod(F.xxhash64("digest"), F.lit(sample)) == 0)
+    keys = list_entries(some, shingle, percent, 1).select(F.explode("keys").alias("key"))
+    often = keys.groupBy("key").count().filter(F.col("count") >= least)
+    found = often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64))
+
+
+def list_entries(docs: DataFrame, shingle: int, percent: int, buckets: int, common: np.ndarray | None = None) -> DataFrame:
     """(bucket, keys, sids): which sets enter which lists, many entries a row."""
 
     def sent(keys: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
@@ -151,7 +190,7 @@ def list_entries(docs: DataFrame, shingle: int, percent: int, buckets: int) -> D
                 if not len(tokens) or sid in sids:
                     continue
                 sids[sid] = None
-                keys.append(keys_of(tokens, percent))
+                keys.append(keys_of(tokens, percent, common))
                 held += len(keys[-1])
                 if held > ENTRIES:
                     yield sent(keys, list(sids))
@@ -257,22 +296,30 @@ def candidate_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFram
         rest = None
         for last, batch in _with_last(batches):
             columns = [batch.column(c).to_numpy() for c in ("list", "sid", "n")]
-            columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(columns[0]), -1))
+            sketches = batch.column("sketch").to_pylist()
             if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns)]
-            name, sid, n, bits = columns
+                columns = [np.concatenate(x) for x in zip(rest[0], columns)]
+                sketches = rest[1] + sketches
+            name, sid, n = columns
             starts = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
             ends = np.append(starts[1:], len(name))
             if not last and len(starts):  # the batch's last list may go on
-                rest = [x[starts[-1] :] for x in columns]
+                rest = [x[starts[-1] :] for x in columns], sketches[starts[-1] :]
                 starts, ends = starts[:-1], ends[:-1]
             pair = starts[ends - starts == 2]
-            near = pair[may_link(bits[pair], n[pair], bits[pair + 1], n[pair + 1], percent)]
-            told, roots = [sid[near + 1]], [sid[near]]
+            least = np.fromiter((min(len(sketches[i]), len(sketches[i + 1])) for i in pair.tolist()), np.int64, len(pair))
+            told, roots = [sid[:0]], [sid[:0]]
+            for size in np.unique(least).tolist():
+                own = pair[least == size]
+                one, other = (folded([sketches[i] for i in x.tolist()], size) for x in (own, own + 1))
+                near = own[may_link(one, n[own], other, n[own + 1], percent)]
+                told.append(sid[near + 1])
+                roots.append(sid[near])
             for a, b in zip(starts.tolist(), ends.tolist()):
                 if b - a > 2:
+                    bits = folded(sketches[a:b], min(map(len, sketches[a:b])))
                     told.append(sid[a:b])
-                    roots.append(_reached(sid[a:b], n[a:b], bits[a:b], percent))
+                    roots.append(_reached(sid[a:b], n[a:b], bits, percent))
             told, roots = np.concatenate(told), np.concatenate(roots)
             other = told != roots
             yield pa.RecordBatch.from_arrays([pa.array(told[other]), pa.array(roots[other])], ["sid", "root"])
@@ -284,6 +331,22 @@ def candidate_pairs(found: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return cells.mapInArrow(run, "sid long, root long").union(unseen).filter("sid != root").distinct()
 
 
+def _bit(digest: Column) -> tuple[Column, Column]:
+    """The row and the place in it of a digest's bit in the filter."""
+    at = F.pmod(F.xxhash64(digest), F.lit(FILTER))
+    return F.shiftright(at, 15), at.bitwiseAND(F.lit((1 << 15) - 1))
+
+
+def with_digest_among(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows whose digest is among these, and a few others: a filter of ``FILTER`` bits is all that moves."""
+    row, place = _bit(F.col("digest"))
+    bits = digests.select(row.alias("row"), place.alias("place")).groupBy("row").agg(F.bitmap_construct_agg("place").alias("bits"))
+    row, place = _bit(docs["digest"])
+    held = F.conv(F.hex(F.substring(bits["bits"], F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    told = F.getbit(held, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return docs.join(F.broadcast(bits), (bits["row"] == row) & told, "left_semi")
+
+
 def _with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
     before = None
     for item in items:
@@ -369,14 +432,15 @@ def _classes(
     bound_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("digest", F.xxhash64("text"))
-    index = materialize(index_rows(docs, shingle), "index")
+    index = materialize(index_rows(docs, shingle, percent), "index")
     # a row is named by its id and its text's digest: an id may be null or name several texts
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     sets = index.filter("n > 0").groupBy("sid").agg(
         F.min(row).alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     sets = materialize(sets.select("sid", "copies", "n", "sketch", F.col("row.doc_id").alias("rep"), "row"), "sets")
-    found = materialize(lists(list_entries(docs, shingle, percent, 2 * partitions(spark)), cell, most), "lists")
+    common = common_keys(docs, shingle, percent)
+    found = materialize(lists(list_entries(docs, shingle, percent, 2 * partitions(spark), common), cell, most), "lists")
     groups = materialize(components(candidate_pairs(found, sets, percent), "sid", "root"), "candidates")
 
     # tasks are cut by the number of sets and by what they hold
@@ -393,8 +457,9 @@ def _classes(
         F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"),
     )
     placed = placed.withColumn("task", F.struct("place", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
-    match = (docs.digest == placed.of) & docs.doc_id.eqNullSafe(placed.rep)
-    work = docs.join(placed, match).select("task", "root", "sid", "copies", "part", "text")
+    some = with_digest_among(docs, named.select(F.col("row.digest").alias("digest")))
+    match = (some.digest == placed.of) & some.doc_id.eqNullSafe(placed.rep)
+    work = some.join(placed, match).select("task", "root", "sid", "copies", "part", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oddlines.llm import setjoin
 from oddlines.llm.queries import QUERIES
@@ -122,3 +123,61 @@ def test_keep_one_and_no_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (1, "A b c d e f"), (2, None), (None, "q"), (5, "")], "doc_id long, text string")
     assert sorted((r.doc_id for r in setjoin.keep_one(docs).collect()), key=repr) == [1, 2, 5, None]
     assert setjoin.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_meet_without_common_blocks(percent):
+    rng = np.random.default_rng(percent)
+    spared = 0
+    for n in [5, 20, 60, 100, 333, 900, 2000]:
+        for _ in range(12):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            differ = 2 * n * (100 - percent) // (100 + percent)
+            drop = rng.integers(0, differ + 1)
+            b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 1 << 63, rng.integers(0, differ - drop + 1), dtype=np.uint64)))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared < percent * (len(a) + len(b) - shared) or setjoin.set_id(a) == setjoin.set_id(b):
+                continue
+            both = np.intersect1d(setjoin.keys_of(a, percent), setjoin.keys_of(b, percent))
+            for part in (1, 10, 50, 99):
+                often = np.sort(both[rng.random(len(both)) < part / 100])
+                left = [setjoin.keys_of(s, percent, often) for s in (a, b)]
+                assert len(np.intersect1d(*left))
+                spared += len(setjoin.keys_of(a, percent)) - len(left[0])
+    assert spared
+
+
+def long_texts(rng, n, words=4000):
+    """Unlike texts with one passage in common, two of them near copies."""
+    passage = [f"p{i}" for i in range(300)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(words)] + passage for _ in range(n)]
+    texts[1] = texts[0][:-40] + ["other"] * 40
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_long_texts_with_a_passage_in_common_are_told_apart(spark):
+    docs = spark.createDataFrame(long_texts(random.Random(5), 24), "doc_id long, text string")
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    sets = setjoin.index_rows(docs, 5, 80)
+    ids = {r.doc_id: r.sid for r in sets.collect()}
+    found = setjoin.lists(setjoin.list_entries(docs, 5, 80, 8), setjoin.CELL, setjoin.HELD)
+    assert max(len(r.sids) for r in found.collect()) > 2
+    pairs = {frozenset(r) for r in setjoin.candidate_pairs(found, sets, 80).collect()}
+    assert pairs == {frozenset((ids[0], ids[1]))}
+
+
+def test_long_texts_stay_out_of_common_lists(spark):
+    docs = spark.createDataFrame(long_texts(random.Random(6), 24), "doc_id long, text string")
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    often = setjoin.common_keys(docs, 5, 80, 1, 5)
+    assert len(often)
+    found = setjoin.lists(setjoin.list_entries(docs, 5, 80, 8, often), setjoin.CELL, setjoin.HELD)
+    assert max(len(r.sids) for r in found.collect()) < 5
+
+
+def test_only_texts_of_groups_are_moved(spark):
+    docs = spark.range(3000).select(F.xxhash64("id").alias("digest"), F.lit("x").alias("text"))
+    some = docs.filter(F.pmod("digest", F.lit(100)) == 0)
+    wanted = {r.digest for r in some.collect()}
+    moved = [r.digest for r in setjoin.with_digest_among(docs, some.select("digest")).collect()]
+    assert wanted <= set(moved) and len(moved) == len(set(moved)) < 2 * len(wanted)
