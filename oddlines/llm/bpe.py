@@ -237,6 +237,12 @@ class Bpe:
             self.cache[name] = ids[begin:end] if fine else array("I", next(exact)).tobytes()
             self.cached += 200 + 4 * len(name)  # with what an entry takes besides
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that waits for tasks of other stages holds its memory beside theirs."""
+        self.cache.clear()
+        self.known.clear()
+        self.cached = 0
+
     def parts(self, text: str) -> Iterator[tuple[list[str], bytes]]:
         """The text in order, as slices of words and the id of the special token behind each (or nothing)."""
         at = 0
@@ -340,6 +346,8 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_ids: bool
                 new = encoded(bpe, [value or "" for value in part.column(source).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], [*kept, *made])
             give_back()
+        bpe.forget()
+        give_back()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from oddlines.llm import bpe as module
 from oddlines.llm.bpe import Bpe, encode_texts, token_digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,3 +55,15 @@ def test_rows_nulls_and_clashing_columns(spark):
     assert [f.name for f in whole.schema] == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     assert {r.decoded for r in whole.collect()} == {"", "the cat"}
     assert token_digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_workers_keep_no_words(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string").repartition(4)
+    assert encode_texts(docs, PATH).count() == docs.count()
+
+    def held(batches):
+        sizes = [len(b.cache) + len(b.known) for b in module._LOADED.values()]
+        for batch in batches:
+            yield batch.from_pydict({"n": [sum(sizes)]})
+
+    assert max(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()) == 0
