@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,81 +37,222 @@ from oddlines.storage import materialize
 
 SHARD = 2048  # texts in one index
 NEIGHBOURS = 32  # taken from the index at a time
+USED = 0.75  # an index is rid of used texts when only this part of its texts is left
 K1, B = 1.2, 0.75  # the usual constants of BM25
-CACHE = 96 << 20  # bytes of words with their ids that a task remembers
-PORTION, ASKED = 1 << 20, 1 << 15  # bytes of text, and new words, that are taken at a time
+CACHE = 48 << 20  # bytes of pieces with their ids that a task remembers
+PORTION, AT_ONCE = 1 << 20, 1 << 18  # bytes of text that are taken, and tokens that are counted, at a time
 _SPACES = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
-# Signs for which lower case is all there is to normalise (ASCII and composed Latin letters), and
-# how the word tokenizer takes words of such signs apart.
-_OTHER = "[^\x00-\x7fÀ-ÖØ-öø-įı-ſ]"
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ a-zß-öø-ſ0-9]+")
+# How the word tokenizer takes words apart, for signs that lower case is all there is to normalise of (ASCII
+# and composed Latin letters). Classes of bytes: 0 space, 1 letter, 2 digit, 3 other; _ODD: first bytes of other signs.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[32], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 0, 1, 1, 2
+_ODD = np.zeros(256, bool)
+_ODD[[*range(0xC0, 0xC3), *range(0xC6, 0x100)]] = True
+_ODD_PAIRS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")  # the multiplication and division signs, capital I with dot
+_SHORT = re.compile(rb"'(?:[stmd]|re|ve|ll)")
 _WORD_END = "</w>"
+_WIDE = 16  # bytes of a piece that make its key
+_KEPT = [np.array([(1 << 8 * min(max(n - k, 0), 8)) - 1 for n in range(_WIDE + 1)], np.uint64) for k in (0, 8)]
+_BLANK = [~kept & np.uint64(0x2020202020202020) for kept in _KEPT]
+
+
+def starts_of(text: bytes, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of a text of plain signs in lower case begin and end: runs of letters or others, digits, 's and such."""
+    kind = _CLASS[buf]
+    begins = np.empty(len(kind) + 1, bool)
+    begins[:1], begins[-1] = True, True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:-1])
+    begins[:-1] |= kind == 2
+    for found in _SHORT.finditer(text):
+        at, end = found.span()
+        if not at or kind[at - 1] != 3:  # else it is the end of a run of other signs
+            begins[at + 1], begins[end] = False, True
+    edges = np.flatnonzero(begins)
+    piece = kind[edges[:-1]] != 0
+    return edges[:-1][piece], edges[1:][piece]
+
+
+class Pieces:
+    """Numbers of pieces by their bytes: up to ``_WIDE`` bytes by an open table of whole keys, longer ones by name."""
+
+    def __init__(self, bits: int = 17):
+        self.names: dict[bytes, int] = {}
+        self.count = self.bytes = 0
+        self.keys = [np.zeros(1 << bits - 1, np.uint64) for _ in _KEPT]
+        self.slots = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, keys: list[np.ndarray]) -> np.ndarray:
+        mixed = keys[0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The number of each key, -1 if it has none."""
+        slot = self._slot(keys)
+        out = self.slots[slot]
+        left = np.flatnonzero((out >= 0) & ((self.keys[0][out] != keys[0]) | (self.keys[1][out] != keys[1])))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            found = out[left] = self.slots[slot]
+            more = (found >= 0) & ((self.keys[0][found] != keys[0][left]) | (self.keys[1][found] != keys[1][left]))
+            left, slot = left[more], slot[more]
+        return out
+
+    def _place(self, numbers: np.ndarray) -> None:
+        slot = self._slot([own[numbers] for own in self.keys])
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            left = self.slots[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def add(self, keys: list[np.ndarray], names: list[bytes]) -> None:
+        """Number new and different keys, then new names, in order."""
+        first, self.count = self.count, self.count + len(keys[0])
+        keyed = np.arange(first, self.count, dtype=np.int32)
+        self.names.update(zip(names, range(self.count, self.count + len(names))))
+        self.count += len(names)
+        self.bytes += 48 * (self.count - first) + 112 * len(names) + sum(map(len, names))
+        full = self.count > len(self.keys[0])
+        while self.count > len(self.keys[0]):
+            self.keys = [np.append(own, np.zeros(len(own), np.uint64)) for own in self.keys]
+        for own, new in zip(self.keys, keys):
+            own[keyed] = new
+        if full:
+            old = self.slots[self.slots >= 0]
+            self.slots = np.full(2 * len(self.keys[0]), -1, np.int32)
+            self._place(old)
+        self._place(keyed)
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, which is asked once for each piece (a word, run of signs, digit).
+    """Ids of texts by the tokenizers library, which is asked once for each piece (a run of letters or signs, a digit).
 
     Words with other signs than plain ones, or with a special token, are not taken apart here.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (self.tokenizer, self.merger):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        # pieces come in lower case and taken apart, so that only merging is left to do
+        self.merger.normalizer = None
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), letters])
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.mark, self.mark_id = next(iter(self.special.items()))
-        self.odd = re.compile("|".join([_OTHER, *map(re.escape, self.special)]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.mark, self.mark_id = self.special[0], self.tokenizer.token_to_id(self.special[0])
+        self.rare = [*_ODD_PAIRS, *map(str.encode, self.special)]
         self.ends = np.zeros(self.size, bool)  # tokens that end a word
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-
-    def _cut(self, names: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
-        size, raw = self.kind.itemsize, ids.tobytes()
-        starts = [0, *(size * (ends[:-1] + gap)).tolist()]
-        self.cache.update((w, raw[a:b]) for w, a, b in zip(names, starts, (size * ends).tolist(), strict=True))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Have the ids of all these pieces in the cache, which is emptied first if it is full."""
-        if self.cached > CACHE:
-            self.cache.clear()
-            self.cached = 0
-        new = list(pieces.difference(self.cache))
-        self.cached += sum(map(len, new)) + 160 * len(new)
-        for begin in range(0, len(new), ASKED):
-            plain, odd = [], []
-            for piece in new[begin : begin + ASKED]:
-                (odd if self.odd.search(piece) else plain).append(piece)
-            if plain:  # each is one word to the library, and its last token says so
-                ids = self._ids(" ".join(plain))
-                self._cut(plain, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
-            alone = [w for w in odd if any(s in w for s in self.special)]
-            self.cache.update((w, self._ids(w).tobytes()) for w in alone)
-            odd = list(set(odd).difference(alone))
-            if odd:  # the library tells what stands on either side of a special token apart
-                ids = self._ids(self.mark.join(odd))
-                self._cut(odd, ids, np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1)
-
-    def pieces(self, raw: bytes) -> list[str]:
-        """The pieces of a text in order."""
-        text = raw.translate(_SPACES).decode("utf-8", "replace")
-        out, at = [], 0
-        while found := self.odd.search(text, at):
-            begin = max(at, text.rfind(" ", at, found.start()) + 1)
-            end = text.find(" ", found.end())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Pieces()
+        self.bounds = np.zeros(1 << 17, np.int64)  # where the ids of each piece begin, and the last ones end
+        self.store = np.zeros(1 << 19, self.kind)
+
+    def _ids(self, text: str, tokenizer) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, keys: list[np.ndarray], ids: np.ndarray, ends: np.ndarray, names: list[bytes]) -> None:
+        """Note the ids of new keys, then new names."""
+        n, total = self.known.count, int(self.bounds[self.known.count])
+        self.known.add(keys, names)
+        while self.known.count >= len(self.bounds):
+            self.bounds = np.append(self.bounds, np.zeros(len(self.bounds), np.int64))
+        while total + len(ids) > len(self.store):
+            self.store = np.append(self.store, np.zeros(len(self.store), self.kind))
+        self.store[total : total + len(ids)] = ids
+        self.bounds[n + 1 : self.known.count + 1] = total + ends
+
+    def _merge(self, keys: list[np.ndarray], keyed: list[bytes], names: list[bytes]) -> None:
+        """Ask for new pieces: those of ``keys`` (their bytes are ``keyed``), then longer ones."""
+        if keyed or names:  # each is one word to the library, and its last token says so
+            ids = self._ids(b" ".join(keyed + names).decode(), self.merger)
+            self._learn(keys, ids, np.flatnonzero(self.ends[ids]) + 1, names)
+
+    def _odd(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words with signs or tokens that are not plain."""
+        new = list(dict.fromkeys(w for w in words if w not in self.known.names))
+        alone = [w for w in new if any(s.encode() in w for s in self.special)]
+        found = [self._ids(w.decode(), self.tokenizer) for w in alone]
+        apart = list(set(new).difference(alone))
+        if apart:  # the library tells what stands on either side of a special token apart
+            ids = self._ids(self.mark.join(map(bytes.decode, apart)), self.tokenizer)
+            found += np.split(ids[ids != self.mark_id], np.flatnonzero(ids == self.mark_id) - np.arange(len(apart) - 1))
+        if found:
+            none = [np.zeros(0, np.uint64)] * len(_KEPT)
+            self._learn(none, np.concatenate(found), np.cumsum(list(map(len, found))), alone + apart)
+        return np.fromiter(map(self.known.names.__getitem__, words), np.int32, len(words))
+
+    def _portion(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of texts that are learnt together; what is known is forgotten first if it is much."""
+        if self.known.bytes + self.kind.itemsize * int(self.bounds[self.known.count]) > CACHE:
+            self.forget()
+        text = b" ".join(texts).translate(_SPACES)
+        try:
+            text.decode()
+        except UnicodeDecodeError:
+            texts = [t.decode("utf-8", "replace").encode() for t in texts]
+            text = b" ".join(texts).translate(_SPACES)
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        text, words, places = self._plain(text)
+        buf = np.frombuffer(text + b" " * _WIDE, np.uint8)
+        begins, ends = starts_of(text, buf[: len(text)])
+        numbers = self._numbers(text, buf, begins, ends)
+        numbers[np.searchsorted(begins, places)] = self._odd(words)
+        sizes = self.bounds[numbers + 1] - self.bounds[numbers]
+        sums = np.append(0, np.cumsum(sizes))
+        ids = self.store[np.repeat(self.bounds[numbers] - sums[:-1], sizes) + np.arange(sums[-1])]
+        cuts = sums[np.searchsorted(begins, at)].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield ids[a:b]
+
+    def _plain(self, text: bytes) -> tuple[bytes, list[bytes], list[int]]:
+        """The text in lower case; words that are not plain, and their places, where one sign is left of them."""
+        odd = np.flatnonzero(_ODD[np.frombuffer(text, np.uint8)])
+        if found := [m.start() for rare in self.rare if rare in text for m in re.finditer(re.escape(rare), text)]:
+            odd = np.sort(np.append(odd, found))
+        odd = odd.tolist()
+        words, places, parts, i, end = [], [], [], 0, 0
+        while i < len(odd):
+            begin, before = text.rfind(b" ", 0, odd[i]) + 1, end
+            end = text.find(b" ", odd[i])
             end = len(text) if end < 0 else end
-            out += _PIECE.findall(text[at:begin].lower())
-            out.append(text[begin:end])
-            at = end
-        return out + _PIECE.findall(text[at:].lower()) if at else _PIECE.findall(text.lower())
+            words.append(text[begin:end])
+            places.append(begin)
+            parts += [text[before:begin], b"!".ljust(end - begin)]
+            i = bisect_left(odd, end, i)
+        text = b"".join([*parts, text[end:]])
+        return text.lower() if text.isascii() else text.decode().lower().encode(), words, places
+
+    def _numbers(self, text: bytes, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of every piece, new ones too."""
+        lengths = np.minimum(ends - begins, _WIDE)
+        eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))  # the eight bytes from each place on
+        keys = [eight[begins + 8 * k] & kept[lengths] | blank[lengths] for k, (kept, blank) in enumerate(zip(_KEPT, _BLANK))]
+        numbers = self.known.find(keys)
+        long = np.flatnonzero(ends - begins > _WIDE)
+        names = [text[a:b] for a, b in zip(begins[long].tolist(), ends[long].tolist())]
+        new = numbers < 0
+        new[long] = False
+        new = np.flatnonzero(new)
+        new = new[np.lexsort([own[new] for own in keys])]
+        differ = np.ones(len(new), bool)
+        differ[1:] = (keys[0][new[1:]] != keys[0][new[:-1]]) | (keys[1][new[1:]] != keys[1][new[:-1]])
+        first = new[differ]
+        keyed = [text[a:b] for a, b in zip(begins[first].tolist(), ends[first].tolist())]
+        numbers[new] = self.known.count + np.cumsum(differ) - 1
+        self._merge([own[first] for own in keys], keyed, list(set(names).difference(self.known.names)))
+        numbers[long] = np.fromiter(map(self.known.names.__getitem__, names), np.int32, len(names))
+        return numbers
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of every text; short texts are learnt together, a long one by portions of its words."""
@@ -121,22 +263,18 @@ class WordIds:
                 size += len(texts[end])
                 end += 1
             if size <= PORTION:
-                split = list(map(self.pieces, texts[begin:end]))
-                self.learn(set().union(*split))
-                for own in split:
-                    yield np.frombuffer(b"".join(map(self.cache.__getitem__, own)), self.kind)
+                yield from self._portion(texts[begin:end])
             else:
-                yield np.concatenate(list(self._portions(texts[begin].translate(_SPACES))))
+                yield np.concatenate([ids for part in self._cut(texts[begin]) for ids in self._portion([part])])
             begin = end
 
-    def _portions(self, text: bytes) -> Iterator[np.ndarray]:
+    def _cut(self, text: bytes) -> Iterator[bytes]:
+        text = text.translate(_SPACES)
         begin = 0
         while begin < len(text):
             end = text.find(b" ", begin + PORTION)
             end = len(text) if end < 0 else end
-            own = self.pieces(text[begin:end])
-            self.learn(set(own))
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, own)), self.kind)
+            yield text[begin:end]
             begin = end
 
 
@@ -149,6 +287,23 @@ def loaded(path: str) -> WordIds:
     return _LOADED[path]
 
 
+def counted(lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every text its different tokens in order: the text's place, the token, how often it is there."""
+    kind, bits = (np.uint32, 16) if len(lengths) <= 1 << 16 and ids.dtype.itemsize == 2 else (np.uint64, 32)
+    keys = np.repeat(np.arange(len(lengths), dtype=kind), lengths) << kind(bits) | ids.astype(kind)
+    keys.sort()
+    first = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
+    tf, keys = np.diff(first, append=len(keys)), keys[first]
+    return (keys >> kind(bits)).astype(np.int64), (keys & kind((1 << bits) - 1)).astype(np.int64), tf
+
+
+def heaviest(owner: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """The place of every text's largest weight, the first of equals. Each text has a token at least."""
+    begins = np.searchsorted(owner, np.arange(texts))
+    at = np.flatnonzero(weight == np.maximum.reduceat(weight, begins)[owner])
+    return at[np.searchsorted(at, begins)]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -184,6 +339,11 @@ def token_table(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
         task = TaskContext.get().partitionId() << 32
         arrow_id = None
 
+        def count(found: list[np.ndarray]) -> None:
+            if found:
+                terms = counted(np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found))[1]
+                np.add(held, np.bincount(terms, minlength=len(held)), out=held)
+
         def batch(kind: int, pieces: _Pieces, ids: list[bytes | None], row: list[int | None], counts: list) -> pa.RecordBatch:
             n = len(ids)
             columns = [pa.array([kind] * n, pa.int32()), *pieces.arrays(arrow_id), pa.array(ids, pa.binary())]
@@ -195,10 +355,15 @@ def token_table(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
             arrow_id = source.column("doc_id").type
             full, rest, ids, numbers, waiting = _Pieces(), _Pieces(), [], [], 0
             raw = [t or b"" for t in source.column("text").to_pylist()]
+            fresh, size = [], 0  # not counted yet
             for doc_id, found in zip(source.column("doc_id").to_pylist(), words.of(raw)):
                 found = np.append(found, np.array([end], words.kind))
                 n, start = len(found), 0
-                held[np.unique(found)] += 1
+                fresh.append(found)
+                size += n
+                if size > AT_ONCE:
+                    count(fresh)
+                    fresh, size = [], 0
                 texts, tokens = texts + 1, tokens + n
                 while n - start >= window:
                     full.add(doc_id, start, window, crc(found[start : start + window]), n, 2 * (task + sequences) + 1, 0)
@@ -211,6 +376,7 @@ def token_table(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
                 if waiting > 4 << 20:
                     yield batch(1, rest, ids, numbers, [])
                     rest, ids, numbers, waiting = _Pieces(), [], [], 0
+            count(fresh)
             for kind, pieces, more, row in ((0, full, [None] * len(full.columns[0]), None), (1, rest, ids, numbers)):
                 if more:
                     yield batch(kind, pieces, more, row or more, [])
@@ -230,13 +396,10 @@ class Bm25:
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
         self.texts = len(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        keys = np.repeat(np.arange(len(texts)), lengths) << 32 | np.concatenate(texts)
-        keys, tf = np.unique(keys, return_counts=True)
-        self.terms = keys & 0xFFFFFFFF  # by text, for queries
-        self.begins = np.searchsorted(keys >> 32, np.arange(len(texts) + 1))
-        order = np.argsort(self.terms, kind="stable")
-        owner = (keys >> 32)[order]
-        tf = tf[order]
+        owner, self.terms, tf = counted(lengths, np.concatenate(texts))  # by text, for queries
+        self.begins = np.searchsorted(owner, np.arange(len(texts) + 1))
+        order = np.argsort(self.terms.astype(np.uint16) if len(idf) <= 1 << 16 else self.terms, kind="stable")
+        owner, tf = owner[order], tf[order]
         weight = idf[self.terms[order]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
         self.owner, self.weight = owner, weight
         self.postings = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
@@ -244,6 +407,12 @@ class Bm25:
     def query(self, i: int) -> np.ndarray:
         return self.terms[self.begins[i] : self.begins[i + 1]]
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Leave the other texts out of the postings; they score 0 from here on, and no other score changes."""
+        live = wanted[self.owner]
+        self.postings = np.append(0, np.cumsum(live))[self.postings]
+        self.owner, self.weight = self.owner[live], self.weight[live]
+
     def scores(self, terms: np.ndarray) -> np.ndarray:
         begin, held = self.postings[terms], self.postings[terms + 1] - self.postings[terms]
         at = np.repeat(begin - np.append(0, np.cumsum(held)[:-1]), held) + np.arange(held.sum())
@@ -285,7 +454,7 @@ class _Packer:
         """Pack the texts of one shard; the last window may stay open."""
         index = Bm25([r[2] for r in rows], self.idf, self.mean)
         unused, taken = np.ones(len(rows), bool), np.zeros(len(rows), np.int64)
-        following, first = None, 0
+        following, first, indexed = None, 0, len(rows)
 
         def take(i: int) -> int | None:
             doc_id, start, ids, doc_tokens = rows[i]
@@ -306,6 +475,9 @@ class _Packer:
                 seed = first if following is None else following
                 self.seed, following = index.query(seed), None
                 take(seed)
+            if (left := np.count_nonzero(unused)) < USED * indexed:
+                index.keep(unused)
+                indexed = left
             for i in neighbours(index.scores(self.seed), unused):
                 if not self.room:
                     break
@@ -353,14 +525,15 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, shard: in
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = np.zeros((2, batch.num_rows), np.int32)
-            for i, raw in enumerate(batch.column("ids")):
-                terms, tf = np.unique(np.frombuffer(raw.as_buffer(), kind), return_counts=True)
+            ids = [np.frombuffer(raw.as_buffer(), kind) for raw in batch.column("ids")]
+            if ids:
+                owner, terms, tf = counted(np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
                 weight = idf[terms] * tf / (tf + K1)
-                first = int(weight.argmax())
-                best[:, i] = terms[first]
-                if len(terms) > 1:
-                    weight[first] = -1
-                    best[1, i] = terms[int(weight.argmax())]
+                first = heaviest(owner, weight, len(ids))
+                best[0] = terms[first]
+                weight[first] = -1
+                second = heaviest(owner, weight, len(ids))
+                best[1] = np.where(second == first, 0, terms[second])
             names = [*batch.schema.names, "one", "two"]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best[0]), pa.array(best[1])], names)
 

@@ -76,6 +76,88 @@ def test_ids_of_documents_equal_the_library(sf_dir):
         assert ids.tolist() == told[:-1].tolist()
 
 
+def test_pieces_of_any_signs_equal_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "PORTION", 300)
+    monkeypatch.setattr(packing, "CACHE", 20_000)  # all is forgotten again and again
+    rng = random.Random(8)
+    signs = ["'", "'", "s", "T", "re", "VE", "ll", "d", "m", "!", "\"", "7", "12", "é", "ÉŸ", "ſ", "\x00", "\x1c", "a" * 14, " ", "  ", "\n"]
+    odd = ["×", "÷", "İ", "µ", "\u0301", "語", "<|endoftext|>", "<|ENDOFTEXT|>", "\xa0", "\ufffd", "\u212a"]
+    texts = ["".join(rng.choices(signs + odd * (i % 2), k=rng.randint(0, 60))) for i in range(1500)]
+    words = packing.WordIds(PATH)
+    for text, ids, told in zip(texts, words.of([t.encode() for t in texts]), reference(texts), strict=True):
+        assert ids.tolist() == told[:-1].tolist(), text
+    (broken,) = words.of([b"a \xff\xc3 b\xe2\x82"])
+    assert broken.tolist() == reference(["a \ufffd\ufffd b\ufffd"])[0][:-1].tolist()
+    for text in ("", " ", "é"):
+        assert [ids.tolist() for ids in words.of([text.encode()])] == [reference([text])[0][:-1].tolist()]
+
+
+def test_plain_pieces_are_asked_once_and_only_merged():
+    words, asked = packing.WordIds(PATH), []
+    words.tokenizer = None  # with its normaliser and pattern
+    ask = words._ids
+    words._ids = lambda text, *by: asked.append(text) or ask(text, *by)
+    texts = ["Don't ask twice, Élan!", "don't ASK; élan 12", "a longer piece thanSixteenSignsHold"] * 50
+    assert [ids.tolist() for ids in words.of([t.encode() for t in texts])] == [t[:-1].tolist() for t in reference(texts)]
+    list(words.of([t.encode() for t in texts]))
+    (text,) = asked
+    pieces = text.split(" ")
+    assert sorted(set(pieces)) == sorted(pieces) and {"'t", "ask", "élan", "1", "thansixteensignshold"} < set(pieces)
+
+
+def test_numbers_of_pieces_hold_when_tables_grow():
+    known, rng = packing.Pieces(bits=3), np.random.default_rng(4)
+    # keys that share one half, or all but a bit, are different keys
+    all_keys = [np.append(rng.integers(0, 1 << 63, 500), np.arange(500)).astype(np.uint64), (np.arange(1000) // 3).astype(np.uint64)]
+    for a in range(0, 1000, 50):
+        keys = [own[a : a + 50] for own in all_keys]
+        assert (known.find(keys) == -1).all()
+        known.add(keys, [b"a long name %d" % a])
+    told = np.arange(1000) + np.arange(1000) // 50
+    assert (known.find(all_keys) == told).all() and known.names[b"a long name 950"] == known.count - 1 == 1019
+
+
+def test_counts_and_weightiest_tokens():
+    rng = np.random.default_rng(9)
+    for kind in ("<u2", "<u4"):
+        found = [rng.integers(0, 60_000, n).astype(kind) % m for n, m in ((1, 5), (300, 7), (4000, 60_000), (2, 1))]
+        owner, terms, tf = packing.counted(np.array(list(map(len, found))), np.concatenate(found))
+        weight = tf / (tf + 1.2)
+        first = packing.heaviest(owner, weight, len(found))
+        for i, ids in enumerate(found):
+            own, n = np.unique(ids, return_counts=True)
+            assert terms[owner == i].tolist() == own.tolist() and tf[owner == i].tolist() == n.tolist()
+            assert terms[first[i]] == own[n.argmax()]
+    assert all(len(x) == 0 for x in packing.counted(np.zeros(0, np.int64), np.zeros(0, "<u2")))
+
+
+def test_used_texts_leave_the_index(monkeypatch):
+    held, scores = [], packing.Bm25.scores
+
+    def watched(self, terms):
+        held.append(len(self.owner))
+        return scores(self, terms)
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    def pieces():
+        found = [f.astype("<u2") for f in reference([t for _, t in texts(6, 300)])]
+        rows, out = [(i, 0, f, len(f)) for i, f in enumerate(found)], packing._Pieces()
+        packer = packing._Packer(np.linspace(1, 2, 1 << 16), 40.0, 256)
+        packer.shard(rows, out)
+        packer.finish(out)
+        return out.columns
+
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    monkeypatch.setattr(packing.Bm25, "scores", watched)
+    shrinking = pieces()
+    assert held[-1] < held[0] / 2 and held == sorted(held, reverse=True)
+    monkeypatch.setattr(packing, "USED", 0)
+    assert pieces() == shrinking
+
+
 def test_every_id_lies_in_one_piece(spark):
     rows = [*texts(1, 400), (1000, None), (1001, ""), (1002, ODD), (1003, "word " * 9000), (1004, "so 7 " * 2048)]
     by_sequence = hold(rows, packed(spark, rows), 4096)
