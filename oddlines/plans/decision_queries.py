@@ -101,7 +101,7 @@ def detect_log_anomalies(spark, sf_dir):
 
 @query("detect_per_source")
 def detect_per_source(spark, sf_dir):
-    result, _ = detect.detect_per_source(t.source_files(spark, sf_dir))
+    result, _ = detect.detect_per_source(lambda: t.source_files(spark, sf_dir))
     return result.select("source_folder", *RESULT)
 
 

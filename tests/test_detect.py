@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import math
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,45 @@ def test_pairs_are_counted_for_frequent_words_only(spark, monkeypatch):
     monkeypatch.setattr(features, "materialize", lambda d, label: stored.setdefault(label, real(d, label)))
     features.ngram_vocabulary(df, ["id"], "text", 2)
     assert {r["term"] for r in stored["frequent"].collect()} == {"aa", "bb"}
+
+
+def test_only_what_differs_from_the_line_is_stored(spark, lines, monkeypatch):
+    """Templates that are the line, and texts that no mask alters, are read from other columns; lines go once mined."""
+    stored, given = {}, []
+    real = detect.materialize
+    with monkeypatch.context() as m:
+        m.setattr(detect, "materialize", lambda d, label: stored.setdefault(label, real(d, label)))
+        whole, _ = detect.detect_log_anomalies(lines)
+    prepared = stored["prepared"]
+    assert prepared.filter("template = value").isEmpty() and prepared.filter("event_clean = lower(template)").isEmpty()
+    ours, _ = detect.detect_log_anomalies(lambda: given.append(storage.materialize(lines, "files")) or given[0])
+    assert ours.columns == whole.columns and sorted(map(str, ours.collect())) == sorted(map(str, whole.collect()))
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        given[0].count()
+
+
+def test_terms_of_several_models_are_sent_to_the_texts(spark):
+    """Not the far larger rows of words are moved, whatever size the engine would send."""
+    texts = spark.createDataFrame([("a", "x", "aa bb", 1), ("b", "y", "aa cc", 1)], "model string, text_key string, combined string, freq long")
+    vocab = features.ngram_vocabulary(texts, ["text_key"], "combined", 5, freq="freq", model=["model"], moved=False)
+    vocab = storage.materialize(features.with_idf(vocab, F.lit(2)), "vocabulary")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grams = features.ngram_rows(texts, ["model", "text_key"], "combined")
+        weights = features.tfidf(grams, vocab, ["text_key"], model=["model"])
+        plan = weights._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert weights.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffle_files_go_with_the_stored_table(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    storage.materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    end = time.time() + 20
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before
