@@ -95,7 +95,7 @@ RESULT = ["file_path", "seq", "value", "cluster_id", "template", "event_clean",
 
 @query("detect_log_anomalies")
 def detect_log_anomalies(spark, sf_dir):
-    result, _ = detect.detect_log_anomalies(t.source_files(spark, sf_dir))
+    result, _ = detect.detect_log_anomalies(lambda: t.source_files(spark, sf_dir))
     return result.select(*RESULT)
 
 
